@@ -10,6 +10,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose values in ``column`` add up to about CHUNK_BYTES; one long text stands alone."""
     col = batch.column(column)
     start, size = 0, 0
-    lengths = pa.compute.binary_length(col).to_pylist()
+    lengths = pc.binary_length(col).to_pylist()
     for i, n in enumerate(lengths):
         if size and size + (n or 0) > CHUNK_BYTES:
             yield batch.slice(start, i - start)
