@@ -1,8 +1,67 @@
-"""A stand-in until the stages are in place."""
+"""The corpus pipeline: quality rules, quality classifier, near-dedup, mixing, SentencePiece.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the
+columns of documents. ``run`` chains the stages on the whole table; between stages it cuts the lineage in the
+shared checkpoint folder, as a reader of written stages would find them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievewright.llm import mixing, quality_rules, ranking, simhash, spm
+from sievewright.llm.common import cut_lineage, prepare, read
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule, or are outliers of their language and source, go."""
+    prepare(spark)
+    return quality_rules.filter_documents(docs)
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold go. The ranking is learnt from the labelled rows of the raw table."""
+    prepare(spark)
+    model = ranking.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return ranking.filter_documents(docs, model)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    prepare(spark)
+    return simhash.dedup_documents(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: whole copies, then the copy that the budget cuts."""
+    return mixing.mix_documents(docs)
+
+
+def tokenising_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as ids, with the number of tokens and whether decoding gives the text back."""
+    prepare(spark)
+    done = spm.round_trip(docs)
+    same = F.coalesce(F.translate("text", spm.MARK, " ") == F.col("decoded"), F.col("text").isNull())
+    return done.select("doc_id", "lang", "source", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("quality_classifier", quality_classifier_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("tokenising", tokenising_stage),
+]
+
+#: Neither the rules' estimates nor the classifier are expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut_lineage(docs)
+    return docs
