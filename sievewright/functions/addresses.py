@@ -64,7 +64,7 @@ def fix_path_segment(c: Column) -> Column:
 
 
 def cut_segment(c: Column) -> Column:
-    return F.split(x.percent_decode(c), rf"(?U)[ ]|{x.SPACE}", 2)[0]
+    return F.split(x.percent_decode(c), rf"(?U)\u00a0|{x.SPACE}", 2)[0]
 
 
 def _reserved(platform: str, low: Column) -> Column:

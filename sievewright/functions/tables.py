@@ -97,7 +97,7 @@ RESERVED = {
 
 # --- fixed values: edges of addresses in running text ----------------------------------------
 EDGE_JUNK = ".,;:!?«»\"'()[]<>–—“”„"
-INVISIBLE = "­​﻿"
+INVISIBLE = "\u00ad\u200b\ufeff"
 
 # --- fixed values: wording of the reference list ---------------------------------------------
 HEADER_MARKERS = ("вид экстремистских материалов", "наименование суда")

@@ -10,6 +10,7 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tables as t
 
@@ -47,7 +48,7 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     import html
 
@@ -66,7 +67,7 @@ def clean_address(raw: Column, entities: bool = True) -> Column:
     if entities:
         x = decode_entities(x)
     x = F.translate(x, t.INVISIBLE, "")
-    x = F.split(x, rf"(?U)(?:&nbsp;| |{SPACE})+")[0]
+    x = F.split(x, rf"(?U)(?:&nbsp;|\u00a0|{SPACE})+")[0]
     x = F.substring_index(F.substring_index(x, ";", 1), ",", 1)
     return F.trim(x, F.lit(t.EDGE_JUNK))
 
@@ -182,7 +183,7 @@ def find_bare_handles(c: Column) -> Column:
 
 
 # --- other -------------------------------------------------------------------------------------
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_text(s: pd.Series) -> pd.Series:
     """Case-folded, decomposed, without marks and punctuation; for loose comparison of titles."""
     import re
@@ -197,7 +198,7 @@ def fold_text(s: pd.Series) -> pd.Series:
 
 def tidy(c: Column) -> Column:
     """Single blanks, no blank lines, no blanks at the ends."""
-    x = F.regexp_replace(F.translate(c, " ", " "), "[ \t]+", " ")
+    x = F.regexp_replace(F.translate(c, "\u00a0", " "), "[ \t]+", " ")
     return strip(F.regexp_replace(x, rf"(?U)\n{SPACE}*\n+", "\n"))
 
 

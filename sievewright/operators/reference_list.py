@@ -20,9 +20,9 @@ def shape_rows(cells: DataFrame) -> DataFrame:
     n = F.size("cells")
     rows = cells.where(n > 0).select(
         *[k for k in cells.columns if k != "cells"],
-        c[0].alias("material_type"),
-        F.when(n > 2, F.array_join(F.slice(c, F.lit(2), n - 2), "\n")).otherwise("").alias("description"),
-        F.when(n > 1, F.element_at(c, -1)).otherwise("").alias("court"),
+        F.get(c, F.lit(0)).alias("material_type"),
+        F.when(n > 2, F.array_join(F.slice(c, F.lit(2), F.greatest(n - 2, F.lit(0))), "\n")).otherwise("").alias("description"),
+        F.when(n > 1, F.try_element_at(c, F.lit(-1))).otherwise("").alias("court"),
     )
     return rows
 
