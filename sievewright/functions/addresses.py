@@ -8,6 +8,7 @@ apart by host; each has one expression that reads the path's segments and the qu
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from . import text as x
 
 IDENTIFIER = "array<struct<platform:string,kind:string,value:string,raw:string,notes:array<string>>>"
 _PAIRS = "array<struct<kind:string,value:string,note:string>>"
-_TEMP = ("_address", "_netloc", "_path", "_query", "_host", "_platform", "_segments", "_notes", "_pairs")
+_TEMP = ("_raw", "_found", "_address", "_netloc", "_path", "_query", "_host", "_platform", "_segments", "_notes", "_pairs")
 
 
 def _pair(kind: str, value: Column, note: Column | None = None) -> Column:
@@ -175,32 +176,47 @@ def _pairs_of(platform: Column, host: Column, segments: Column, query: Column) -
     )
 
 
-def with_identifiers(df: DataFrame, address: str, out: str = "identifiers", entities: bool = True) -> DataFrame:
-    """``df`` with the identifiers of the address in column ``address``; none for NULL and for what is no address.
+@lru_cache(maxsize=4)
+def _steps(gateway: int, entities: bool) -> tuple[dict[str, Column], ...]:
+    """The projections of ``with_identifiers``, each on what the ones before it made.
 
-    ``entities=False`` leaves character references alone, which keeps the plan free of Python.
+    They name temporary columns only, so they are built once for a JVM (thousands of gateway calls) and used
+    for every table.
     """
-    raw, c = F.col(address), F.col
+    c = F.col
     form = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)(?:\?([^#]*))?"
     full = F.when(F.instr(c("_address"), "//") > 0, c("_address")).otherwise(F.concat(F.lit("https://"), c("_address")))
     odd = x.any_of(t.delimiter_aliases() + "[]")
-    df = df.withColumn("_address", x.clean_address(raw, entities))
-    df = df.withColumn("_address", F.when(c("_address") != "", full))
-    df = df.withColumns({f"_{n}": F.regexp_extract(c("_address"), form, i) for i, n in enumerate(("netloc", "path", "query"), 1)})
-    df = df.withColumn("_netloc", F.when(~c("_netloc").rlike(odd), F.substring_index(F.substring_index(c("_netloc"), "@", 1), ":", 1)))
     split = F.filter(F.split(c("_path"), "/"), lambda s: s != "")
-    df = df.withColumns({"_host": F.when(c("_netloc") != "", x.normalize_host(c("_netloc"))), "_segments": F.transform(split, cut_segment)})
     path_notes = F.transform(F.filter(c("_segments"), x.is_misspelt), lambda s: F.lit("path:lookalikes"))
-    df = df.withColumns({"_platform": x.looked_up(c("_host"), t.PLATFORM_OF_HOST), "_notes": F.concat(x.host_notes(c("_netloc")), path_notes), "_segments": F.transform(c("_segments"), x.fix_segment)})
-    df = df.withColumn("_pairs", F.when(c("_host").isNotNull(), _pairs_of(c("_platform"), c("_host"), c("_segments"), c("_query"))).otherwise(_none()))
     platform = F.coalesce(c("_platform"), F.lit("web"))
 
     def identifier(p: Column, value: Column, note: Column) -> Column:
         notes = F.filter(F.concat(c("_notes"), F.array(p["note"], note)), lambda n: n.isNotNull())
-        return F.struct(platform.alias("platform"), p["kind"].alias("kind"), value.alias("value"), raw.alias("raw"), notes.alias("notes"))
+        return F.struct(platform.alias("platform"), p["kind"].alias("kind"), value.alias("value"), c("_raw").alias("raw"), notes.alias("notes"))
 
     plain = F.lit(None).cast("string")
     mixed = F.filter(c("_pairs"), lambda p: (p["kind"] != "domain") & x.is_mixed_script(p["value"]))
     twins = F.flatten(F.transform(mixed, lambda p: F.array(identifier(p, x.latin_variant(p["value"]), F.lit("variant:latin")), identifier(p, x.cyrillic_variant(p["value"]), F.lit("variant:cyrillic")))))
     found = F.concat(F.transform(c("_pairs"), lambda p: identifier(p, p["value"], plain)), F.filter(twins, lambda i: i["value"].isNotNull()))
-    return df.withColumn(out, found).drop(*_TEMP)
+    return (
+        {"_address": x.clean_address(c("_raw"), entities)},
+        {"_address": F.when(c("_address") != "", full)},
+        {f"_{n}": F.regexp_extract(c("_address"), form, i) for i, n in enumerate(("netloc", "path", "query"), 1)},
+        {"_netloc": F.when(~c("_netloc").rlike(odd), F.substring_index(F.substring_index(c("_netloc"), "@", 1), ":", 1))},
+        {"_host": F.when(c("_netloc") != "", x.normalize_host(c("_netloc"))), "_segments": F.transform(split, cut_segment)},
+        {"_platform": x.looked_up(c("_host"), t.PLATFORM_OF_HOST), "_notes": F.concat(x.host_notes(c("_netloc")), path_notes), "_segments": F.transform(c("_segments"), x.fix_segment)},
+        {"_pairs": F.when(c("_host").isNotNull(), _pairs_of(c("_platform"), c("_host"), c("_segments"), c("_query"))).otherwise(_none())},
+        {"_found": found},
+    )
+
+
+def with_identifiers(df: DataFrame, address: str, out: str = "identifiers", entities: bool = True) -> DataFrame:
+    """``df`` with the identifiers of the address in column ``address``; none for NULL and for what is no address.
+
+    ``entities=False`` leaves character references alone, which keeps the plan free of Python.
+    """
+    df = df.withColumn("_raw", F.col(address))
+    for step in _steps(id(df.sparkSession.sparkContext._gateway), entities):
+        df = df.withColumns(step)
+    return df.withColumn(out, F.col("_found")).drop(*_TEMP)
