@@ -31,22 +31,26 @@ from .common import chunks
 
 MARK = "▁"
 #: Distinct words that a worker remembers before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 
 
 class Encoder:
-    def __init__(self, voc: V.Vocabulary):
+    def __init__(self, voc: V.Vocabulary, usable: dict[str, int] | None = None):
+        """``usable``: ``whole_pieces()`` of an encoder for the same vocabulary, which takes a second to find."""
         self.voc = voc
-        usable = (V.NORMAL, V.USER, V.UNUSED)
-        self.ids = {p: i for i, (p, k) in enumerate(zip(voc.pieces, voc.kinds, strict=True)) if k in usable}
-        self.longest = max(map(len, self.ids), default=1)
+        in_text = (V.NORMAL, V.USER, V.UNUSED)
+        self.ids = {p: i for i, (p, k) in enumerate(zip(voc.pieces, voc.kinds, strict=True)) if k in in_text}
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(voc.pieces, voc.kinds, strict=True)) if k == V.BYTE}
         self.unknown = next((i for i, k in enumerate(voc.kinds) if k == V.UNKNOWN), 0)
         self.cuts = not any(MARK in p.lstrip(MARK) or "\n" in p for p in self.ids)
-        self.lowest = min((s for s, k in zip(voc.scores, voc.kinds, strict=True) if k in usable), default=0.0) - 10.0
-        self.whole: dict[str, bool] = {}
+        self.lowest = min((s for s, k in zip(voc.scores, voc.kinds, strict=True) if k in in_text), default=0.0) - 10.0
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.usable = self.whole_pieces() if usable is None else usable
+        self.reach: dict[str, int] = {}
+        for p in self.usable:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
 
     # --- BPE ---------------------------------------------------------------------------------
     def merge(self, s: str) -> list[str]:
@@ -64,25 +68,27 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def is_whole(self, p: str) -> bool:
-        got = self.whole.get(p)
-        if got is None:
-            got = self.whole[p] = self.merge(p) == [p]
-        return got
+    def whole_pieces(self) -> dict[str, int]:
+        """Pieces that merging their own characters gives; for BPE no other piece can be in a result."""
+        if self.voc.model_type != V.BPE:
+            return self.ids
+        return {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
 
     def may_follow(self, a: str, b: str) -> bool:
-        got = self.pairs.get((a, b))
-        if got is None:
-            if len(self.pairs) > CACHE_WORDS:
-                self.pairs.clear()
-            got = self.pairs[a, b] = self.merge(a + b) == [a, b]
+        if len(self.pairs) > CACHE_WORDS:
+            self.pairs.clear()
+        got = self.pairs[a, b] = self.merge(a + b) == [a, b]
         return got
 
     # --- forward pass over sorted words ------------------------------------------------------
     def encode_sorted(self, words: list[str]) -> Iterator[list[str]]:
-        """The pieces of each word; ``words`` sorted. last[i] is the last piece of the first i characters."""
+        """The pieces of each word; ``words`` sorted. last[i] is the last piece of the first i characters.
+
+        Of the places where the last piece may start, those further back than any piece with the same three
+        last characters is long are left out.
+        """
         bpe = self.voc.model_type == V.BPE
-        ids, longest, scores = self.ids, self.longest, self.voc.scores
+        ids, pairs, reach, lowest, scores = self.usable, self.pairs, self.reach, self.lowest, self.voc.scores
         last: list[str] = [""]
         best: list[float] = [0.0]
         before = ""
@@ -94,22 +100,29 @@ class Encoder:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
             for i in range(shared + 1, len(w) + 1):
+                start = i - reach.get(w[i - 3 : i], 2) if i > 2 else 0
+                if start < 0:
+                    start = 0
                 if bpe:
-                    for j in range(max(0, i - longest), i):
+                    for j in range(start, i):
                         p = w[j:i]
-                        if (i - j == 1 or p in ids and self.is_whole(p)) and (j == 0 or self.may_follow(last[j], p)):
-                            last.append(p)
-                            break
+                        if p in ids or j == i - 1:
+                            if j == 0:
+                                break
+                            ok = pairs.get((last[j], p))
+                            if ok or ok is None and self.may_follow(last[j], p):
+                                break
                     else:
                         raise ValueError(f"no last piece at {i} of {w[:50]!r}")
+                    last.append(p)
                 else:
                     top, piece = None, ""
-                    for j in range(max(0, i - longest), i):
+                    for j in range(start, i):
                         p = w[j:i]
                         k = ids.get(p)
                         if k is None and i - j > 1:
                             continue
-                        score = best[j] + (self.lowest if k is None else scores[k])
+                        score = best[j] + (lowest if k is None else scores[k])
                         if top is None or score > top:
                             top, piece = score, p
                     last.append(piece)
@@ -122,9 +135,14 @@ class Encoder:
             yield out[::-1]
 
     def to_ids(self, pieces: list[str]) -> list[int]:
+        ids = self.ids
+        try:
+            return [ids[p] for p in pieces]
+        except KeyError:
+            pass
         out: list[int] = []
         for p in pieces:
-            i = self.ids.get(p)
+            i = ids.get(p)
             if i is not None:
                 out.append(i)
             elif self.bytes:
@@ -214,9 +232,10 @@ def _mapped(df: DataFrame, names: str, types: str, column: str, path: str | None
     rest = df.drop(*[n for n, _ in new if n != column])
     schema = T.StructType([*rest.schema.fields, *[T.StructField(n, _parse_datatype_string(t)) for n, t in new]])
     voc = V.load(path)
+    usable = Encoder(voc).usable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(voc)
+        encoder = Encoder(voc, usable)
         for b in batches:
             parts = chunks(b, column) if types != "string" else [b]
             for part in parts:
