@@ -75,8 +75,9 @@ def list_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    entries = reference_list.entries_of(list_cells(spark, sf_dir))
-    return entries, reference_list.identifiers_of(entries)
+    """Entries and identifiers, kept in memory as an index is: both are read several times by a match."""
+    entries = reference_list.entries_of(list_cells(spark, sf_dir)).cache()
+    return entries, reference_list.identifiers_of(entries).cache()
 
 
 def _identifiers_sql() -> str:
@@ -105,7 +106,7 @@ SHARE = 1000
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of pages, and addresses composed from parts that partly meet the list."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("obs_seq"), "url")
-    k = F.col("p_partkey") % SHARE + 1
+    k = F.floor(F.col("p_partkey") / len(TRACES)) % SHARE + 1
     h = F.concat(F.lit("supplier_"), F.lpad(k.cast("string"), 9, "0"))
     address = by_case(F.col("p_partkey"), [filled(c, h=h, k=k) for c in TRACES])
     parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1_000_000_000).alias("obs_seq"), address.alias("url"))
@@ -114,7 +115,7 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _traces_sql() -> str:
-    names = {"h": f"'supplier_' || lpad((p_partkey % {SHARE} + 1)::VARCHAR, 9, '0')", "k": f"p_partkey % {SHARE} + 1"}
+    names = {"h": f"'supplier_' || lpad((p_partkey // {len(TRACES)} % {SHARE} + 1)::VARCHAR, 9, '0')", "k": f"p_partkey // {len(TRACES)} % {SHARE} + 1"}
     parts = [f"SELECT p_partkey + 1000000000 AS obs_seq, '{p}' AS platform, '{k}' AS kind, {filled_sql(v, **names)} AS value FROM part WHERE p_partkey % {len(TRACES)} = {n}" for n, (p, k, v) in enumerate(TRACES_SQL)]
     return " UNION ALL ".join([f"SELECT page_id AS obs_seq, 'web' AS platform, 'domain' AS kind, {PAGE_HOST_SQL} AS value FROM pages", *parts])
 
