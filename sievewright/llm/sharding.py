@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 SEED = 20240
 BUCKET_BYTES = 16 << 20
+#: Bytes of buckets that a task of pass two gets.
+PARTITION_BYTES = 64 << 20
 #: Bytes that a record has besides its text.
 ROW_BYTES = 16
 
@@ -65,7 +67,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = SEED, bucket_
         group = group.take(pc.take(canonical, pa.array(perm)))
         return group.append_column("slot", pa.array(np.arange(group.num_rows, dtype=np.int64)))
 
-    shuffled = scattered.groupBy("shard", "bucket").applyInArrow(shuffle, schema)
+    # partitions follow the bytes, whatever the session's number for shuffles is
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    shuffled = scattered.repartition(parts, "shard", "bucket").groupBy("shard", "bucket").applyInArrow(shuffle, schema)
     counts = scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n_rows"))
     # one row a bucket: a shard's window holds its buckets' counts only
     before = F.coalesce(F.sum("n_rows").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
