@@ -48,6 +48,8 @@ FLOOR = (1.0, 0.8, 0.12, 0.15, 0.2)
 DIMS = len(FLOOR)
 #: Estimates, of some 200 bytes each, that may be broadcast.
 BROADCAST_GROUPS = 20_000
+#: Files that the estimates, a row a group, are written to at each step.
+ESTIMATE_PARTITIONS = 8
 BINS_PER_OCTAVE = 8
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
@@ -177,7 +179,7 @@ def minimum_covariance_determinant(rows: DataFrame) -> DataFrame:
         before = F.coalesce(F.sum("c").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         inner = binned.withColumn("before", before).where(F.col("before") < H * F.col("n"))
         moments = inner.groupBy("key").agg(F.first("n").alias("n"), *[F.sum(c).alias(c) for c in names]).select("key", "n", *names)
-        params = cut_lineage(_estimates(moments, CONSISTENCY))
+        params = cut_lineage(_estimates(moments.coalesce(ESTIMATE_PARTITIONS), CONSISTENCY))
     return params
 
 
