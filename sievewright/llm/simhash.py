@@ -30,6 +30,8 @@ from .common import cut_lineage
 DISTANCE = 3
 SEGMENTS, BITS = 4, 16
 SEED = 42
+#: Links that a file holds between the steps of the component search.
+LINKS_A_FILE = 100_000
 #: Rows of one key that are compared at once.
 BLOCK = 2048
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -179,14 +181,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Minima are grouped with partial sums and joined back, so that no node's neighbours meet in one row.
     """
     edges = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    state, files = None, edges.count() // LINKS_A_FILE + 1
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        edges = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        # a step adds no links; they are written to as many files as their number asks for
+        edges = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
