@@ -377,7 +377,9 @@ def test_links_join_all_that_is_near(spark):
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
     links = simhash.link_fingerprints(df)
-    roots = {r.node: r.root for r in simhash.connected_components(links).collect()}
+    found = simhash.connected_components(links).collect()
+    roots = {r.node: r.root for r in found}
+    assert len(roots) == len(found)
     assert links.count() < 6 * len(fps)
     want = brute_components(fps)
     got = [roots.get(f, f) for f in signed]
