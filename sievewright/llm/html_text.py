@@ -6,7 +6,9 @@ content with one <article> or <main> element label themselves. The weight of a w
 context, the innermost element that names a page part or carries a class, and the weight of a tag the log
 odds of its name with its class, both between the inside and the outside of the content, with a prior for
 what training did not see. Inside the region, the parts that no article text belongs to (menus, adverts,
-sidebars, notices, forms, comments and the like, by element, class, id or role) are left out again.
+sidebars, notices, forms, comments and the like, by element, class, id or role) are left out again. Such a
+part scores nothing where its host has words both before and after it, so that it splits no article; the host is
+the outermost <article> or <main> around it, or without one the box that it stands in, if that is not the body.
 
 Text is decoded, blanks inside a block become one space, blocks are trimmed and joined by a line end; a line
 break ends a block. Scripts, styles, templates and comments are no text.
@@ -49,8 +51,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
 
-#: An item: (kind, payload, context, part). kind "w": payload is text; kind "t": payload is the tag's key.
-Item = tuple[str, str, str, bool]
+#: An item: (kind, payload, context, part, host). kind "w": payload is text; kind "t": payload is the tag's key.
+Item = tuple[str, str, str, bool, int]
 
 
 def _names(attributes: str) -> list[str]:
@@ -61,14 +63,17 @@ def _names(attributes: str) -> list[str]:
 
 
 def items(page: str) -> Iterator[Item]:
-    """Text runs and tags in page order. Each has its context and whether it lies in a part without article text."""
-    stack: list[tuple[str, str, bool]] = [("", "body", False)]
+    """Text runs and tags in page order. Each has its context, whether it lies in a part without article text, and
+    the number of the host that it belongs to, 0 for none."""
+    stack: list[tuple[str, str, bool, int]] = [("", "body", False, 0)]
+    content: set[int] = set()
+    boxes = 0
     pos, size = 0, len(page)
     while pos < size:
         m = _TAG.search(page, pos)
         at = m.start() if m else size
         if at > pos:
-            yield "w", page[pos:at], stack[-1][1], stack[-1][2]
+            yield "w", page[pos:at], *stack[-1][1:]
         if not m:
             return
         pos = m.end()
@@ -79,19 +84,19 @@ def items(page: str) -> Iterator[Item]:
             if name in BOXES:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == name:
-                        _, context, part = stack[depth]
+                        _, context, part, host = stack[depth]
                         del stack[depth:]
-                        yield "t", f"/{context}", stack[-1][1], part
+                        yield "t", f"/{context}", stack[-1][1], part, host
                         break
                 else:
-                    yield "t", f"/{name}", stack[-1][1], stack[-1][2]
+                    yield "t", f"/{name}", *stack[-1][1:]
             else:
-                yield "t", f"/{name}", stack[-1][1], stack[-1][2]
+                yield "t", f"/{name}", *stack[-1][1:]
             continue
         if name in RAW:
             end = _RAW_END[name].search(page, pos)
             pos = end.end() if end else size
-            yield "t", name, stack[-1][1], stack[-1][2]
+            yield "t", name, *stack[-1][1:]
             continue
         if name in BOXES:
             names = _names(m[3])
@@ -99,10 +104,16 @@ def items(page: str) -> Iterator[Item]:
             inside = any(s[0] in ("article", "main") for s in stack)
             # a header of the article itself holds its title
             part = stack[-1][2] or name in PARTS and not (name == "header" and inside) or any(x in PART_NAMES for x in names) and name not in ("article", "main", "body")
-            stack.append((name, key, part))
-            yield "t", key, key, part
+            boxes += 1
+            host = stack[-1][3]
+            if not part and host not in content:
+                host = 0 if name == "body" else boxes
+                if name in ("article", "main"):
+                    content.add(host)
+            stack.append((name, key, part, host))
+            yield "t", key, key, part, host
         else:
-            yield "t", name, stack[-1][1], stack[-1][2]
+            yield "t", name, *stack[-1][1:]
 
 
 def _inside(key: str) -> bool:
@@ -112,7 +123,7 @@ def _inside(key: str) -> bool:
 def label_page(page: str) -> tuple[Counter, Counter] | None:
     """Counts of words by context and of tags, inside and outside the one content element; None without one."""
     inside, outside, depth, elements = Counter(), Counter(), 0, 0
-    for kind, payload, context, part in items(page):
+    for kind, payload, context, part, _ in items(page):
         if kind == "t":
             if _inside(payload):
                 elements += 1
@@ -171,11 +182,22 @@ def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     sequence = list(items(page))
-    gains = [weights.tag(p, part) if kind == "t" else len(p.split()) * weights.word(context, part) for kind, p, context, part in sequence]
+    first: dict[int, int] = {}
+    last: dict[int, int] = {}
+    for i, (kind, payload, _, part, host) in enumerate(sequence):
+        if kind == "w" and host and not part and not payload.isspace():
+            first.setdefault(host, i)
+            last[host] = i
+    gains = []
+    for i, (kind, payload, context, part, host) in enumerate(sequence):
+        if part and first.get(host, i) < i < last.get(host, i):
+            gains.append(0.0)
+        else:
+            gains.append(weights.tag(payload, part) if kind == "t" else len(payload.split()) * weights.word(context, part))
     start, end = best_region(gains)
     blocks: list[str] = []
     now: list[str] = []
-    for kind, payload, _, part in sequence[start:end]:
+    for kind, payload, _, part, _ in sequence[start:end]:
         if kind == "w":
             if not part:
                 now.append(payload)

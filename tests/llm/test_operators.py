@@ -133,6 +133,27 @@ def test_html(spark):
     assert html_text.op3(df.where("false")).count() == 0
 
 
+@pytest.fixture(scope="module")
+def page_weights():
+    """Contexts as a table of pages trains them: adverts at the lower limit, the article at the upper."""
+    return html_text.Weights({"w:article": (9000, 0, 100), "w:div.ad": (0, 9000, 100), "w:ul": (0, 9000, 100), "t:div.ad": (0, 100, 100), "t:/div.ad": (0, 100, 100)})
+
+
+@pytest.mark.parametrize("box", ["<div class='ad'>{}</div>", "<aside><ul><li>{}</ul></aside>", "<form>{}</form>", "<div class='comments'><div>{}</div></div>"])
+def test_html_long_parts_inside_the_article(page_weights, box):
+    rng = random.Random(5)
+    lead, ending, long = words(rng, 8), words(rng, 4), words(rng, 90)
+    part = box.format(words(rng, 300).replace(" ", " <a href='/x'>more</a> "))
+    for blocks in ([lead, part, long], [long, part, ending], [lead, part, long, part, part, ending]):
+        body = "".join(x if x is part else f"<p>{x}</p>" for x in blocks)
+        for opening, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class='text'>", "</div>")):
+            got = html_text.extract(page(body).replace("<article>", opening).replace("</article>", end), page_weights)
+            assert got == "\n".join(x for x in blocks if x is not part)
+    # a part at the end or beside the content still ends it
+    for end in (f"{part}</article>", f"</article>{part}"):
+        assert html_text.extract(f"<body><article><p>{long}</p>{end}<div class='x'>{ending}</div>", page_weights) == long
+
+
 def test_best_region_against_all_spans():
     rng = random.Random(3)
     for _ in range(200):
