@@ -10,6 +10,10 @@ sidebars, notices, forms, comments and the like, by element, class, id or role)
 part scores nothing where its host has words both before and after it, so that it splits no article; the host is
 the outermost <article> or <main> around it, or without one the box that it stands in, if that is not the body.
 
+A raw element ends at its end tag; without one, or if its tag closes itself, only the tag is skipped, with the
+code or title up to the next tag for scripts, styles and titles. A head ends at its end tag or at the first text or
+tag that no head holds.
+
 Text is decoded, blanks inside a block become one space, blocks are trimmed and joined by a line end; a line
 break ends a block. Scripts, styles, templates and comments are no text.
 
@@ -41,7 +45,9 @@ PRIOR_WORDS = 20.0
 PARTS = frozenset("nav header footer aside form menu dialog button select option textarea label fieldset figure iframe svg".split()) - {"figure"}
 PART_NAMES = frozenset("ad ads advert advertisement adverts banner sponsor sponsored promo nav navigation navbar menu breadcrumb breadcrumbs header footer sidebar aside widget related cookie cookies consent notice popup modal newsletter subscribe share sharing social comment comments reply replies disqus form login search toolbar pagination copyright legal".split())
 #: Elements whose text is no text.
-RAW = ("script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "head")
+RAW = ("script", "style", "noscript", "template", "title", "textarea", "iframe", "svg")
+#: Elements that a head may hold; any other start tag, or text, ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that open a context of their own; others are read as text layout.
@@ -49,7 +55,10 @@ BOXES = frozenset("article main section div nav header footer aside form menu di
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-_RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
+_RAW_NEXT = {name: re.compile(rf"<(/?){name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+#: A slash that is no part of an attribute's value.
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 
 #: An item: (kind, payload, context, part, host). kind "w": payload is text; kind "t": payload is the tag's key.
 Item = tuple[str, str, str, bool, int]
@@ -62,17 +71,42 @@ def _names(attributes: str) -> list[str]:
     return [x for x in found if x]
 
 
+def _raw_end(page: str, pos: int, name: str, attributes: str, endless: set[str]) -> int:
+    """Where a raw element ends whose start tag ends at ``pos``. ``endless`` gathers names without a further end tag."""
+    empty = bool(_EMPTY.search(attributes))
+    if empty and (name == "svg" or name in endless):
+        return pos
+    if empty or name == "noscript" and name not in endless:
+        # browsers ignore the slash: an end tag that comes next is this element's, whereas one that starts before it
+        # shows that this one is empty, or for a noscript, which can't be nested, that its end tag is missing
+        follows = _RAW_NEXT[name].search(page, pos)
+        if empty and not follows or follows and not follows[1]:
+            return pos
+    end = _RAW_END[name].search(page, pos) if name not in endless else None
+    if end:
+        return end.end()
+    endless.add(name)
+    if name in ("script", "style", "title"):
+        following = _TAG.search(page, pos)
+        return following.start() if following else len(page)
+    return pos
+
+
 def items(page: str) -> Iterator[Item]:
     """Text runs and tags in page order. Each has its context, whether it lies in a part without article text, and
     the number of the host that it belongs to, 0 for none."""
     stack: list[tuple[str, str, bool, int]] = [("", "body", False, 0)]
     content: set[int] = set()
     boxes = 0
+    endless: set[str] = set()
+    in_head = False
     pos, size = 0, len(page)
     while pos < size:
         m = _TAG.search(page, pos)
         at = m.start() if m else size
-        if at > pos:
+        if in_head and at > pos:
+            in_head = page[pos:at].isspace()
+        if at > pos and not in_head:
             yield "w", page[pos:at], *stack[-1][1:]
         if not m:
             return
@@ -80,6 +114,11 @@ def items(page: str) -> Iterator[Item]:
         if m[2] is None:
             continue
         name, closing = m[2].lower(), bool(m[1])
+        if in_head:
+            if closing and name not in ("body", "html"):
+                in_head = name != "head"
+                continue
+            in_head = not closing and name in HEAD
         if closing:
             if name in BOXES:
                 for depth in range(len(stack) - 1, 0, -1):
@@ -94,9 +133,13 @@ def items(page: str) -> Iterator[Item]:
                 yield "t", f"/{name}", *stack[-1][1:]
             continue
         if name in RAW:
-            end = _RAW_END[name].search(page, pos)
-            pos = end.end() if end else size
-            yield "t", name, *stack[-1][1:]
+            pos = _raw_end(page, pos, name, m[3], endless)
+            if not in_head:
+                yield "t", name, *stack[-1][1:]
+            continue
+        if name == "head":
+            in_head = True
+        elif in_head:
             continue
         if name in BOXES:
             names = _names(m[3])

@@ -154,6 +154,37 @@ def test_html_long_parts_inside_the_article(page_weights, box):
         assert html_text.extract(f"<body><article><p>{long}</p>{end}<div class='x'>{ending}</div>", page_weights) == long
 
 
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><meta charset='utf-8'><title>T</title><body>",
+        "<head><title>T</title><link rel='x' href='y'><style>p{}</style>",
+        "<html><head><script>var a='</head>'</script></head><body>",
+        "<head><noscript><link href='x'></noscript></head><body>",
+        "<body><noscript><img src='x'>",
+        "<body><noscript><img src='x'><nav>Menu</nav>",
+        "<body><svg viewBox='0 0 1 1'/><svg/>",
+        "<body><iframe src='x' /><iframe src='y'/><iframe src='z'>old</iframe>",
+        "<body><iframe src=http://x/y/>",
+        "<body><template>",
+        "<body><script src='x'/>var code</script><script/>",
+        "<head><title>Title without end<body>",
+        "<body><script>var code",
+    ],
+)
+def test_html_raw_elements_without_end(page_weights, before):
+    lead, rest = "one two three four", "five six seven"
+    after = "<noscript>Enable it</noscript>" if "<noscript>" in before else ""
+    got = html_text.extract(f"{before}<article><h1>{lead}</h1><p>{rest}<svg/></p><p>{lead}</p></article>{after}", page_weights)
+    assert got == f"{lead}\n{rest}\n{lead}"
+
+
+def test_html_head_ends_at_text_and_raw_text_is_none(page_weights):
+    assert html_text.extract("<head><meta charset=utf-8>\n plain words here", page_weights) == "plain words here"
+    got = html_text.extract("<p>one two three</p><svg><text>drawn</text></svg><iframe>old</iframe><STYLE>a{}</Style ><script>if(a<b)'<p>x'</script><p>four five six</p>", page_weights)
+    assert got == "one two three\nfour five six"
+
+
 def test_best_region_against_all_spans():
     rng = random.Random(3)
     for _ in range(200):
