@@ -12,7 +12,8 @@ A step is one aggregation: distances fall into fine logarithmic bins, counts and
 all rows take part, and the estimates stay a table of one row a group.
 
 Many statistics are zero in almost all clean texts, so that scatter alone would reject any text with one
-symbol; FLOOR is the least standard deviation of each, in transformed units.
+symbol; FLOOR is the least standard deviation of each, in transformed units. It is a least value only: in units of
+it, no direction of the scatter is narrower than 1, and where the estimate is wider the estimate decides.
 
 Defined cases: NULL and blank texts have zero counts and fail the base rule; NULL languages and sources are
 groups of their own; NULL ids stay; repeated rows count as often as they occur; an empty table stays empty;
@@ -44,7 +45,8 @@ H, STEPS, MIN_GROUP = 0.75, 4, 100
 #: Probability that a clean normal vector stays within the cut-off.
 KEEP = 0.99999
 #: log words, mean word length, root of symbols per word, of repeated lines and of repeated words per word.
-FLOOR = (1.0, 0.8, 0.12, 0.15, 0.2)
+#: 0.04 puts one symbol or repeated line in a text of MIN_WORDS words at the cut-off.
+FLOOR = (0.1, 0.2, 0.04, 0.04, 0.2)
 DIMS = len(FLOOR)
 #: Estimates, of some 200 bytes each, that may be broadcast.
 BROADCAST_GROUPS = 20_000
@@ -144,7 +146,7 @@ def _distance(x: list[Column], centre: Column, inverse: Column) -> Column:
 
 def _estimates(moments: DataFrame, factor: float) -> DataFrame:
     """Moments (key, n, m, s1.., s11..) to centre and inverse scatter; a small matrix a row."""
-    floor = np.diag(np.square(FLOOR))
+    unit = np.outer(FLOOR, FLOOR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,7 +158,8 @@ def _estimates(moments: DataFrame, factor: float) -> DataFrame:
                 scatter = np.zeros((DIMS, DIMS))
                 for k, (i, j) in enumerate(_TRI):
                     scatter[i, j] = scatter[j, i] = sums[r, DIMS + k] / m[r] - centre[r, i] * centre[r, j]
-                p = np.linalg.inv(scatter * factor + floor)
+                width, axes = np.linalg.eigh(scatter * factor / unit)
+                p = (axes / np.maximum(width, 1.0)) @ axes.T / unit
                 inverse.append([p[i, j] for i, j in _TRI])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=_PARAMS.names)
 
@@ -168,7 +171,7 @@ def minimum_covariance_determinant(rows: DataFrame) -> DataFrame:
     x = [F.col("x")[i] for i in range(DIMS)]
     middle = rows.groupBy("key").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(x)], F.count("*").alias("n"))
     # a quarter-range of a normal variable is 1.349 standard deviations
-    spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) + FLOOR[i] ** 2 for i in range(DIMS)]
+    spread = [F.greatest(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2), F.lit(FLOOR[i] ** 2)) for i in range(DIMS)]
     params = middle.select("key", "n", F.array(*[F.col(f"q{i}")[1] for i in range(DIMS)]).alias("centre"), F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in _TRI]).alias("inverse"))
     for _ in range(STEPS):
         near = rows.join(sized(params), "key").withColumn("bin", F.floor(F.log2(_distance(x, F.col("centre"), F.col("inverse")) + 1e-6) * BINS_PER_OCTAVE))

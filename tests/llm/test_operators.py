@@ -112,6 +112,29 @@ def test_mcd_matches_numpy(spark):
     assert all(0.1 < inverse[i, i] < 0.4 for i in range(quality_rules.DIMS))
 
 
+def test_floors_are_least_values(spark):
+    """Where the scatter is wider than the floors it decides alone; where it is none, the floors are the scatter."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, quality_rules.DIMS)) * 0.4
+    flat = np.zeros((200, quality_rules.DIMS))
+    rows = spark.createDataFrame([("k", r.tolist()) for r in x] + [("flat", r.tolist()) for r in flat] + [("line", [v] * quality_rules.DIMS) for v in x[:500, 0].tolist()], "key string, x array<double>")
+    found = {r.key: r.inverse for r in quality_rules.minimum_covariance_determinant(rows).collect()}
+    diagonal = {k: [v[i] for i, (a, b) in enumerate(quality_rules._TRI) if a == b] for k, v in found.items()}
+    assert np.allclose(np.array(diagonal["k"]) * 0.16, 1, atol=0.2)
+    assert np.allclose(np.array(diagonal["flat"]) * np.square(quality_rules.FLOOR), 1)
+    assert np.isfinite(found["line"]).all()
+
+
+def test_far_outliers_are_rejected(spark):
+    """Symbols at 0.43 a word, or words 3.5 characters longer than all others of the group, don't pass."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randrange(60, 200)), "en", "s1", 1) for i in range(400)]
+    rows.append((1000, " ".join(w + "#" * (i % 100 < 43) for i, w in enumerate(words(rng, 100).split())), "en", "s1", 1))
+    rows.append((1001, " ".join(w + "abc" + "d" * (i % 2) for i, w in enumerate(words(rng, 100).split())), "en", "s1", 1))
+    kept = {r.doc_id: r.kept for r in quality_rules.op2(spark.createDataFrame(rows, DOCS)).collect()}
+    assert not kept[1000] and not kept[1001] and all(kept[i] for i in range(400))
+
+
 # --- 3 ---------------------------------------------------------------------------------------------
 def page(body, noise="Buy now and save"):
     return f"<!DOCTYPE html><html><head><title>T</title><script>var t='</p>'</script></head><body><nav><ul><li><a href='/x'>Home</a></li></ul></nav><div class='ad'>{noise}</div><article>{body}</article><footer>&copy; site</footer>"
