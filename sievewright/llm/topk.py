@@ -4,7 +4,8 @@ Each vector's components stand in lists, one for each dimension, sorted by value
 times the query's is a score, and the lists are read from the end where these are highest, all to the same
 depth. What a vector has shown so far plus the list's remaining extremes bounds its inner product from below
 and above. Reading stops when no vector outside the best k by lower bound has an upper bound that reaches the
-k-th lower bound; those still possible get their final scores, ties going to smaller ids.
+k-th lower bound, when few are left, or at half of the lists at the latest; those still possible get their final
+scores by full inner products, ties going to smaller ids.
 
 The queries, a stated share of the rows, meet all vectors in blocks: vectors and queries are dealt by hash
 into blocks of bounded size, and each pair of blocks is one task's work. A block's lists are sorted once;
