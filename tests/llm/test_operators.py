@@ -270,6 +270,50 @@ def test_shared_backoff_is_a_distribution():
     assert abs(total - 1) < 1e-9
 
 
+def test_class_shares_and_the_shared_rest_sum_to_one():
+    rng = np.random.default_rng(2)
+    t, o = rng.integers(0, 6, 500).astype(float), rng.integers(0, 9, 500).astype(float)
+    t, o = t[t + o > 0], o[t + o > 0]
+    sums = tuple((c.sum(), *[(c == m).sum() for m in (1, 2, 3)], (c >= 4).sum()) for c in (t, o))
+    kinds = (t > 0).astype(float) + (o > 0)
+    rest = toxicity.SHARED_DISCOUNT * len(kinds) / kinds.sum()
+    for c, s in zip((t, o), sums, strict=True):
+        share, left = toxicity.class_shares(c, s)
+        total = (share + left * (kinds - toxicity.SHARED_DISCOUNT) / kinds.sum()).sum() + left * rest
+        assert abs(total - 1) < 1e-9
+
+
+def test_toxicity_counts_and_evidence_against_loops(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a B", "you dolt, you", "go away now. go away now", None, " ", "x" * 100 + " b", words(rng, 40, 30)]), i % 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int").selectExpr("label", "cast(doc_id % 3 as int) fold", "text")
+    plain = lambda t: [x for w in (t or "").split() if (x := w.lower().strip(toxicity.EDGES))]
+    want = Counter()
+    for i, t, label in rows:
+        w = plain(t)
+        short = [len(x) <= toxicity.WORD_BYTES for x in w]
+        for item in {(x, None) for x, k in zip(w, short, strict=True) if k} | {(w[k - 1], w[k]) for k in range(1, len(w)) if short[k] and short[k - 1]}:
+            want[(*item, label, i % 3)] += 1
+    got = Counter()
+    for r in df.mapInArrow(toxicity._count, "word string, after string, label int, fold int, n long").collect():
+        got[r.word, r.after, r.label, r.fold] += r.n
+    assert got == want
+    *_, model = toxicity.train_models(df)
+    texts = [t for _, t, _ in rows[:40]] + ["go away dolt unseenword", "now go"]
+    found = toxicity.Scorer(model).evidence(pa.array(texts, pa.string()))
+    for t, x in zip(texts, found, strict=True):
+        w = plain(t)
+        g = model.word_gains(w).tolist()
+        at = model.index_of(pa.array(w, pa.string())).tolist()
+        g = [v + (model.pair_gains(np.array(at[k - 1 : k]), np.array(at[k : k + 1]))[0] if k else 0) for k, v in enumerate(g)]
+        best = {}
+        for a, v in zip(w, g, strict=True):
+            best[a] = max(best.get(a, 0.0), v, 0.0)
+        top = (sorted(best.values(), reverse=True) + [0.0] * toxicity.TOP)[: toxicity.TOP]
+        runs = [max((sum(g[max(0, k - n) : k]) for k in range(1, len(g) + 1)), default=0) / n for n in toxicity.RUNS]
+        assert np.allclose(x, [sum(g) / max(len(g), 1), *top, *runs, np.log1p(len(w))], atol=1e-5), t
+
+
 # --- 5 and 10 --------------------------------------------------------------------------------------
 TEXTS = ["", " ", "   a", "a   b  ", "\n", " \n ", "a\n\n b", "▁", "a▁b", None, "<s>", "x" * 3000, " " * 40, "<0x0A>", "日本語テキスト́", "\x00a\x85", "Ünïcödé naïve", "hello, world. It's 3.14!"]
 
