@@ -9,7 +9,8 @@ segment: of two fingerprints that differ in that bit, one has it clear. Candidat
 key must pass the chain's longer prefixes before the full check.
 
 Copies share a fingerprint and are collapsed first. The fingerprints of one key become links of a spanning
-forest, never all pairs. Components come from alternating large-star and small-star steps over the links.
+forest, never all pairs; a key of many rows is dealt out again by the third segment of its chain, which differs
+by two bits at most. Components come from alternating large-star and small-star steps over the links.
 
 Defined cases: texts that are NULL or have no word have fingerprint zero; with fewer than three words the
 whole sequence is the one shingle; a component whose ids are all NULL has component_id NULL; repeated rows
@@ -34,6 +35,8 @@ SEED = 42
 LINKS_A_FILE = 100_000
 #: Rows of one key that are compared at once.
 BLOCK = 2048
+#: Rows that a key may have before it is dealt out again.
+KEY_ROWS = 4096
 _BIT_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _ONES = _BIT_OF.sum(axis=1).astype(np.uint8)
 
@@ -94,17 +97,17 @@ def chain_holds(diff: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _links_of_runs(key: np.ndarray, fp: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that connect, within each run of equal keys, all that lies within the distance."""
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    length = np.diff(np.append(start, len(key)))
+def _links_of_runs(run: np.ndarray, key: np.ndarray, fp: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect, within each run (rows of one number), all that lies within the distance."""
+    start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    length = np.diff(np.append(start, len(run)))
     out_a, out_b = [], []
     small = (length > 1) & (length <= 64)
     rows = np.repeat(small, length)
-    k, f, e = key[rows], fp[rows], exact[rows]
+    k, r, f, e = key[rows], run[rows], fp[rows], exact[rows]
     for gap in range(1, int(length[small].max(initial=1))):
         # each row against the row ``gap`` places on, where both are of one run
-        i = np.flatnonzero((k[gap:] == k[:-gap]) & (e[gap:] | e[:-gap]))
+        i = np.flatnonzero((r[gap:] == r[:-gap]) & (e[gap:] | e[:-gap]))
         i = i[chain_holds(f[i] ^ f[i + gap], k[i] >> np.uint64(2 * BITS))]
         out_a.append(f[i]), out_b.append(f[i + gap])
     for s, n in zip(start[length > 64].tolist(), length[length > 64].tolist(), strict=True):
@@ -138,9 +141,85 @@ def _links_of_runs(key: np.ndarray, fp: np.ndarray, exact: np.ndarray) -> tuple[
     return (np.concatenate([empty, *out_a]), np.concatenate([empty, *out_b]))
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
+def third_keys(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The third segment of each row's chain and its 16 values with one bit changed, each with the row's number.
+
+    The first three segments of a chain differ by at most two bits, so that two rows of one key whose chain holds
+    share one of these values.
+    """
+    ring = key >> np.uint64(2 * BITS)
+    third = (fp >> (np.uint64(BITS) * ((ring + np.uint64(2)) % np.uint64(SEGMENTS)))) & np.uint64((1 << BITS) - 1)
+    flips = np.concatenate([[0], 1 << np.arange(BITS)]).astype(np.uint64)
+    return np.repeat(key, len(flips)), (third[:, None] ^ flips[None, :]).ravel(), np.repeat(np.arange(len(key)), len(flips))
+
+
+def _batch(u: np.ndarray, v: np.ndarray, key: np.ndarray | None = None, exact: np.ndarray | None = None) -> pa.RecordBatch:
+    """Links, or rows of a key that was left alone (fingerprint as u)."""
+    n = len(u)
+    arrays = [pa.array(u), pa.array(v), pa.nulls(n, pa.int64()) if key is None else pa.array(key.view(np.int64)), pa.nulls(n, pa.bool_()) if exact is None else pa.array(exact)]
+    return pa.RecordBatch.from_arrays(arrays, names=["u", "v", "key", "exact"])
+
+
+def _link_sorted(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``keys`` (the first of them the ring key) to links. A run of more than ``most`` rows is passed on as it is, without being held."""
+    held: list[np.ndarray] | None = None
+    passing = False  # the held run is too long: what came of it has been passed on
+
+    def runs(cols: list[np.ndarray]) -> np.ndarray:
+        new = np.zeros(len(cols[0]), bool)
+        for c in cols[: len(keys)]:
+            new[1:] |= c[1:] != c[:-1]
+        return np.cumsum(new)
+
+    def links(cols: list[np.ndarray], run: np.ndarray) -> pa.RecordBatch:
+        a, b = _links_of_runs(run, cols[0], cols[-2], cols[-1])
+        a, b = a.view(np.int64), b.view(np.int64)
+        return _batch(np.maximum(a, b), np.minimum(a, b))
+
+    def left(cols: list[np.ndarray]) -> pa.RecordBatch:
+        fp = cols[-2].view(np.int64)
+        return _batch(fp, fp, cols[0], cols[-1])
+
+    def done(cols: list[np.ndarray], run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        long = np.bincount(run)[run] > most if most else np.zeros(len(run), bool)
+        if long.any():
+            yield left([c[long] for c in cols])
+        if not long.all():
+            yield links([c[~long] for c in cols], run[~long])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = [*[b.column(k).to_numpy().view(np.uint64) for k in keys], b.column("fp").to_numpy().view(np.uint64), b.column("exact").to_numpy(zero_copy_only=False).astype(bool)]
+        if passing and held is not None:
+            same = np.logical_and.reduce([now[i] == held[i][0] for i in range(len(keys))])
+            n = int(np.argmin(same)) if not same.all() else len(same)
+            if n:
+                yield left([c[:n] for c in now])
+            if n == len(same):
+                continue
+            now, held, passing = [c[n:] for c in now], None, False
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        run = runs(now)
+        cut = int(np.searchsorted(run, run[-1]))  # the last run may go on in the next batch
+        held = [x[cut:] for x in now]
+        if cut:
+            yield from done([x[:cut] for x in now], run[:cut])
+        if most and len(held[0]) > most:
+            yield left(held)
+            passing, held = True, [c[:1] for c in held]
+    if held is not None and not passing:
+        yield from done(held, runs(held))
+
+
+def link_fingerprints(fps: DataFrame, most: int = KEY_ROWS) -> DataFrame:
     """Distinct fingerprints (fp) to links (u, v), u > v as signed longs; each link is within the distance,
-    or joins two members of one key's group that such pairs connect."""
+    or joins two members of one key's group that such pairs connect.
+
+    A key of more than ``most`` rows is dealt out again under the third segments of its chain, over many tasks.
+    What then meets in a task shares three segments but for a bit each, so that its number has a bound.
+    """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,34 +228,28 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
                 key, owner, exact = ring_keys(fp[i : i + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(owner.view(np.int64)), pa.array(exact)], names=["key", "fp", "exact"])
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def done(key, fp, exact):
-            a, b = _links_of_runs(key, fp, exact)
-            a, b = a.view(np.int64), b.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["u", "v"])
-
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            now = [b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False).astype(bool)]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last run may go on in the next batch
-            held = [x[cut:] for x in now]
-            if cut:
-                yield done(*(x[:cut] for x in now))
-        if held is not None:
-            yield done(*held)
+            for i in range(0, b.num_rows, 4096):
+                part = b.slice(i, 4096)
+                fp, exact = part.column("u").to_numpy(), part.column("exact").to_numpy(zero_copy_only=False).astype(bool)
+                key, third, row = third_keys(part.column("key").to_numpy().view(np.uint64), fp.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(third.view(np.int64)), pa.array(fp[row]), pa.array(exact[row])], names=["key", "third", "fp", "exact"])
 
+    out = "u long, v long, key long, exact boolean"
     keyed = fps.select("fp").mapInArrow(expand, "key long, fp long, exact boolean")
     keyed = keyed.repartition("key").sortWithinPartitions("key")
-    return keyed.mapInArrow(link, "u long, v long").distinct()
+    found = cut_lineage(keyed.mapInArrow(lambda batches: _link_sorted(batches, ("key",), most), out))
+    links = found.where("key is null").select("u", "v")
+    hot = found.where("key is not null")
+    if not hot.isEmpty():
+        dealt = hot.mapInArrow(again, "key long, third long, fp long, exact boolean").repartition("key", "third").sortWithinPartitions("key", "third")
+        links = links.unionByName(dealt.mapInArrow(lambda batches: _link_sorted(batches, ("key", "third"), None), out).select("u", "v"))
+    return links.distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """Links (u, v) to (node, root), root being the component's smallest node; nodes without links are left out.
+    """Links (u, v) to (node, root), root being the component's smallest node; roots and nodes without links are left out.
 
     Minima are grouped with partial sums and joined back, so that no node's neighbours meet in one row.
     """
@@ -192,7 +265,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
 
 

@@ -503,6 +503,22 @@ def test_links_join_all_that_is_near(spark):
     want = brute_components(fps)
     got = [roots.get(f, f) for f in signed]
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
+    # keys of more than a few rows are dealt out again: the same components
+    roots = {r.node: r.root for r in simhash.connected_components(simhash.link_fingerprints(df, most=5)).collect()}
+    again = [roots.get(f, f) for f in signed]
+    assert len(set(zip(again, want, strict=True))) == len(set(again)) == len(set(want))
+
+
+def test_long_runs_pass_through_without_being_held():
+    """Runs of up to ``most`` rows become links, longer ones come out row by row, however the batches are cut."""
+    rng = np.random.default_rng(3)
+    key = np.sort(np.concatenate([np.full(n, k) for k, n in enumerate([1, 3, 50, 4, 5, 6, 200, 1, 7])])).astype(np.int64)
+    fp = rng.permutation(len(key)).astype(np.int64)
+    for size in (1, 3, 7, 60, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(fp[i : i + size]), pa.array(np.ones(len(key[i : i + size]), bool))], names=["key", "fp", "exact"]) for i in range(0, len(key), size)]
+        out = pa.Table.from_batches(list(simhash._link_sorted(iter(batches), ("key",), 5))).to_pylist()
+        assert sorted((r["key"], r["u"]) for r in out if r["key"] is not None) == sorted((k, f) for k, f in zip(key.tolist(), fp.tolist(), strict=True) if k in (2, 5, 6, 8))
+        assert all((r["u"] ^ r["v"]).bit_count() <= 3 for r in out if r["key"] is None)
 
 
 def test_dedup_keeps_one_of_each(spark, docs):
