@@ -6,8 +6,7 @@ arguments cuts at exactly these six characters, so Python code splits the UTF-8
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,19 +18,40 @@ WORD = r"[^\x20\x09-\x0D]+"
 CHUNK_BYTES = 4 << 20
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that long texts do not add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Small Arrow batches, so that long texts do not add up in a Python worker. Queries are run lazily, so that the
+    setting must last; it only ever gets smaller."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= 2000:
+        spark.conf.set(ARROW_ROWS, "2000")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoints in the shared folder that the cluster names; an own folder only where none is set."""
-    sc = df.sparkSession.sparkContext
+    """Checkpoints in the shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where neither that nor the context names one, a folder of a local session's warehouse is taken; on a cluster
+    that is an error, as executors would not see it. Spark's cleaner removes the files of checkpoints that are
+    out of use if spark.cleaner.referenceTracking.cleanCheckpoints is set, as ``local_session`` does.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint(eager=True)
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``docs`` under column names that no working column bears, the new names by the old ones, and the way back,
+    which gives the columns of ``docs`` in their order."""
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names, lambda out: out.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; NULL for a NULL id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
@@ -59,6 +79,12 @@ def chunks(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def label_counts(labels: DataFrame, label: str) -> tuple[int, int]:
+    """Rows labelled 0 and 1 outside the held-out fold."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
+    return tuple(rows.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first())
+
+
 def labelled_sample(labels: DataFrame, label: str, per_class: int, doc_col: str = "doc_id") -> DataFrame:
     """Up to ``per_class`` labelled rows of each class outside the held-out fold, chosen by hash.
 

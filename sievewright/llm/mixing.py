@@ -1,31 +1,36 @@
 """Mixing sources to target weights.
 
-Each document gets a hash-random key. The key's leading digits name a range of the source's order, so
-sorting and summing go range by range: token counts are summed for each (source, range), prefix sums over
-the ranges give where each range starts, and a window inside each range gives where each document starts.
-No window spans a source, so a source with a third of all rows is spread over all its ranges. The mix takes
-whole epochs of a source while the budget allows and cuts the last one at the budget's exact word.
+Each document gets a hash-random key. The key's leading digits name a range of the source's order, as many as the
+number of rows asks for, so sorting and summing go range by range: token counts are summed for each (source, range),
+prefix sums over the ranges give where each range starts, and a window inside each range gives where each document
+starts. No window spans a source, so a source with a third of all rows is spread over all its ranges. Where many
+rows share a key (NULL or repeated ids), the key is a range of its own, split by size. Rows meet their range's
+start and its window in one exchange. The mix takes whole epochs of a source while the budget allows and cuts the
+last one at the budget's exact word.
 
 Targets: sources in code-point order (NULL last) weigh 5, 2, 1, 5, ...; the mix holds 150 % of all words;
 no source gives more than twice its words, and what is over is shared anew by weight. Sorted by
 cap / weight, the capped sources come first; the common level of the others has a closed form.
 
 Defined cases: NULL or blank texts have no words and are never taken; NULL sources are one source; equal
-keys are ordered by id and size, so repeated rows are interchangeable; an empty table gives an empty result.
+keys are ordered by id and size, so repeated rows are interchangeable; an empty table gives an empty result; further
+columns are kept, whatever their names (``plan_mix`` replaces source_size, target and taken).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut_lineage, set_aside
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 2
 SEED = "mix-1"
-#: Hexadecimal digits of the key that name a range: 4,096 ranges a source.
-RANGE_DIGITS = 3
+#: Rows of a range, about, and how many times that makes a range heavy.
+RANGE_ROWS, HEAVY = 50_000, 8
 
 
 def n_words(text: Column) -> Column:
@@ -44,26 +49,51 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     rows = rows.withColumn("level", left / weight_left).withColumn("capped", F.col("level") >= F.col("ratio"))
     level = F.min(F.when(~F.col("capped"), F.struct("ratio", F.col("source").isNull().alias("n"), "source", "level"))).over(every)["level"]
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))
-    return rows.select("source", "source_size", target.alias("target"))
-
-
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    return rows.select(*sizes.columns, target.alias("target"))
+
+
+def _ranged(rows: DataFrame, range_rows: int) -> DataFrame:
+    """``rows`` (with m_id, m_source, size) with m_key, m_home (a name of the source that is never NULL) and m_range.
+
+    Names of ranges sort as their keys do. A key that is a range of its own stands between the smaller and the
+    larger keys of its digits, which "~" sorts behind.
+    """
+    digits = max(1, math.ceil(math.log(max(rows.count() / range_rows, 1), 16)))
+    key = F.md5(F.concat(F.coalesce(F.col("m_id").cast("string"), F.lit("")), F.lit(f":{SEED}")).cast("binary"))
+    home = F.coalesce(F.concat(F.lit("="), F.col("m_source")), F.lit("-"))
+    rows = rows.withColumns({"m_key": key, "m_home": home}).withColumn("m_range", F.substring("m_key", 1, digits))
+    full = rows.groupBy("m_home", "m_range").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY * range_rows).select("m_home", "m_range")
+    if full.isEmpty():
+        return rows
+    often = rows.select("m_home", "m_range", "m_key").join(full, ["m_home", "m_range"], "left_semi").groupBy("m_home", "m_range", "m_key").agg(F.count("*").alias("n")).where(F.col("n") > range_rows)
+    hot = often.groupBy("m_home", "m_range").agg(F.sort_array(F.collect_list("m_key")).alias("m_hot"))
+    rows = rows.join(hot, ["m_home", "m_range"], "left")
+    # the last hot key that is not behind the row's own
+    last = F.try_element_at(F.filter("m_hot", lambda k: k <= F.col("m_key")), F.lit(-1))
+    own = F.concat("m_key", F.lit(":"), F.lpad(F.col("size").cast("string"), 19, "0"))
+    name = F.when(last.isNull(), F.col("m_range")).when(last == F.col("m_key"), own).otherwise(F.concat(last, F.lit("~")))
+    return rows.withColumn("m_range", name).drop("m_hot")
+
+
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows of ``docs`` (with doc_id, source and size) and ``source_size``, ``target``, ``taken`` (words, repeats counted)."""
-    rows = docs.drop("mix_key", "mix_range", "source_size", "target", "taken").withColumn("mix_key", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")))
-    rows = rows.withColumn("mix_range", F.substring("mix_key", 1, RANGE_DIGITS))
-    ranges = rows.groupBy("source", "mix_range").agg(F.sum("size").alias("range_size"))
-    targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, epochs)
-    start = F.coalesce(F.sum("range_size").over(Window.partitionBy("source").orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.withColumn("range_start", start).alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")))
-    ranges = ranges.select(F.col("r.source").alias("range_source"), F.col("r.mix_range").alias("range_name"), "range_start", "source_size", "target")
-    inside = F.sum("size").over(Window.partitionBy("source", "mix_range").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    rows = rows.withColumn("inside", inside)
-    joined = rows.join(ranges, F.col("source").eqNullSafe(F.col("range_source")) & (F.col("mix_range") == F.col("range_name")))
+    plain, names, _ = set_aside(docs.drop("source_size", "target", "taken"))
+    rows = plain.withColumnsRenamed({names["doc_id"]: "m_id", names["source"]: "m_source", names["size"]: "size"})
+    names |= {"doc_id": "m_id", "source": "m_source", "size": "size"}
+    rows = _ranged(rows, range_rows)
+    ranges = rows.groupBy("m_home", "m_range").agg(F.sum("size").alias("range_size"), F.first("m_source").alias("source"))
+    targets = source_targets(ranges.groupBy("m_home").agg(F.first("source").alias("source"), F.sum("range_size").alias("source_size")), weights, epochs)
+    start = F.coalesce(F.sum("range_size").over(Window.partitionBy("m_home").orderBy("m_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.withColumn("range_start", start).join(targets.select("m_home", "source_size", "target"), "m_home")
+    # the join deals rows by range, as the window asks
+    joined = rows.join(ranges.select("m_home", "m_range", "range_start", "source_size", "target"), ["m_home", "m_range"])
+    inside = F.sum("size").over(Window.partitionBy("m_home", "m_range").orderBy("m_key", "m_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    joined = joined.withColumn("inside", inside)
     budget = F.floor("target")
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0)
     rest = budget - whole * F.col("source_size")
     cut = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("range_start") - F.col("inside")))
-    return joined.withColumn("taken", (whole * F.col("size") + cut).cast("long")).drop("mix_key", "mix_range", "inside", "range_source", "range_name", "range_start")
+    return joined.select(*[F.col(new).alias(old) for old, new in names.items()], "source_size", "target", (whole * F.col("size") + cut).cast("long").alias("taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -74,18 +104,22 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself with the columns of ``docs``: whole copies, then the copy that the budget cuts."""
-    names = docs.columns
-    planned = plan_mix(docs.withColumn("size", n_words(F.col("text"))), **options).where("taken > 0")
+    rows, names, back = set_aside(docs)
+    text = names["text"]
+    sized = rows.withColumnsRenamed({names["doc_id"]: "doc_id", names["source"]: "source"}).withColumn("size", n_words(F.col(text)))
+    planned = plan_mix(sized, **options).where("taken > 0").withColumnsRenamed({"doc_id": names["doc_id"], "source": names["source"]})
     copies = planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     words = F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    copies = copies.withColumn("text", F.when(words < F.col("size"), first_words(F.col("text"), words)).otherwise(F.col("text")))
+    copies = copies.withColumn(text, F.when(words < F.col("size"), first_words(F.col(text), words)).otherwise(F.col(text)))
     if "n_chars" in names:
-        copies = copies.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return copies.select(*names)
+        copies = copies.withColumn(names["n_chars"], F.length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return back(copies)
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    return plan_mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))).select("doc_id", "size", "source_size", "target", "taken")
+    # ids, sources and sizes are written once: the texts are read and matched once
+    sized = cut_lineage(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    return plan_mix(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = r"""

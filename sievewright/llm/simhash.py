@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, set_aside
 
 DISTANCE = 3
 SEGMENTS, BITS = 4, 16
@@ -284,24 +284,26 @@ def dedup_documents(docs: DataFrame) -> DataFrame:
     """One row of each component stays: the one with the smallest id.
 
     Rows whose id is NULL or repeated can't be told apart by id; of those in one component the row with the
-    smallest columns stays, and only where no row with a plain id is in it.
+    smallest columns stays, and only where no row with a plain id is in it. All columns are kept, whatever their names.
     """
-    found = cut_lineage(near_duplicates(docs))
+    rows, names, back = set_aside(docs)
+    doc, text = names["doc_id"], names["text"]
+    found = cut_lineage(near_duplicates(rows.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))))
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"))
     odd = ids.where("doc_id is null or n > 1").select(F.col("doc_id").alias("odd_id"))
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == F.col("keep_id"), "left_semi")
+    kept = rows.join(keep, rows[doc] == F.col("keep_id"), "left_semi")
     if odd.isEmpty():
-        return kept
-    plain = kept.join(odd, kept["doc_id"] == F.col("odd_id"), "left_anti")
-    rest = docs.join(odd, docs["doc_id"].eqNullSafe(F.col("odd_id")), "left_semi")
-    prints = fingerprints(rest).select("fp").distinct()
+        return back(kept)
+    plain = kept.join(odd, kept[doc] == F.col("odd_id"), "left_anti")
+    rest = rows.join(odd, rows[doc].eqNullSafe(F.col("odd_id")), "left_semi")
+    prints = fingerprints(rest.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))).select("fp").distinct()
     where = found.select("fp", "component_id").distinct().join(prints, "fp")
     # repeated ids: the fingerprint of each such row is taken anew and names its component
-    tagged = rest.withColumn("_all", F.struct(*docs.columns)).select("_all", F.col("doc_id"), F.col("text"))
+    tagged = rest.select(F.struct(*rest.columns).alias("all"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     tagged = _with_fingerprint(tagged).join(where, "fp").where("component_id is null or component_id = doc_id")
-    one = tagged.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("null_fp")).agg(F.min("_all").alias("_all"))
-    return plain.unionByName(one.select("_all.*").select(*docs.columns))
+    one = tagged.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("null_fp")).agg(F.min("all").alias("all"))
+    return back(plain.unionByName(one.select("all.*")))
 
 
 def _with_fingerprint(rows: DataFrame) -> DataFrame:

@@ -386,6 +386,19 @@ def test_sharding(spark, docs, empty):
     assert sharding.op7(empty).count() == 0
 
 
+def test_equal_rows_are_dealt_over_the_buckets(spark):
+    rows = [(1, "same text " * 5, None)] * 3000 + [(2, "same text " * 5, "y")] * 2 + [(i, f"text {i}", "x") for i in range(10, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket_start string")
+    got = sharding.shard_documents(df, 3, bucket_bytes=8000).collect()
+    assert Counter((r.doc_id, r.text, r.bucket_start) for r in got) == Counter(rows)
+    shard, buckets = {r.shard for r in got if r.doc_id == 1}, Counter(r.bucket for r in got if r.doc_id == 1)
+    assert len(shard) == 1 and len(buckets) > 5 and max(buckets.values()) < 1000
+    slots = Counter((r.shard, r.slot) for r in got)
+    assert set(slots) == {(s, i) for s, n in Counter(r.shard for r in got).items() for i in range(n)}
+    again = {(r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(df.repartition(7), 3, bucket_bytes=8000).collect()}
+    assert again == {(r.doc_id, r.shard, r.slot) for r in got}
+
+
 def test_fisher_yates():
     assert sorted(sharding.fisher_yates(50, 1, 2).tolist()) == list(range(50)) and len(sharding.fisher_yates(0, 1)) == 0
     first = Counter(int(sharding.fisher_yates(4, s)[0]) for s in range(2000))
@@ -433,6 +446,28 @@ def test_mixing(spark, docs, empty):
     assert mixing.op8(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
 
 
+def test_mixing_with_repeated_ids(spark):
+    """Keys that many rows share are split by size: the same decisions as one sorted run of a source."""
+    from hashlib import md5
+
+    rng = random.Random(4)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, rng.choice(["a", "b", None]), rng.randrange(9)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    got = Counter((r.doc_id, r.source, r["size"], r.taken) for r in mixing.plan_mix(df, range_rows=10).collect())
+    want = Counter()
+    sizes = Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    for s, target in water_fill(sizes).items():
+        left = int(target + 1e-9)
+        epochs, left = divmod(left, sizes[s])
+        run = sorted((r for r in rows if r[1] == s), key=lambda r: (md5(f"{'' if r[0] is None else r[0]}:mix-1".encode()).hexdigest(), r[0] or 0, r[2]))
+        for i, _, n in run:
+            want[i, s, n, epochs * n + min(n, left)] += 1
+            left -= min(n, left)
+    assert got == want
+
+
 def test_mixing_equals_sql(spark, docs):
     import duckdb
 
@@ -526,3 +561,24 @@ def test_dedup_keeps_one_of_each(spark, docs):
     kept = simhash.dedup_documents(docs)
     ids = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted(found) and ids.count(None) <= 1
+
+
+# --- all filters --------------------------------------------------------------------------------------
+def test_clashing_names_come_through(spark):
+    """Columns of the caller bear the names of working columns; they and their values are kept."""
+    names = ["x", "key", "centre", "inverse", "kept", "distance", "n_words", "base_failed", "score", "predicted", "mix_key", "inside", "size", "copy", "taken", "target", "m_id", "in_0", "keep_id", "odd_id", "fp", "component_id", "all", "bucket_start", "n", "text_"]
+    rng = random.Random(6)
+    rows = [(i, words(rng, rng.randrange(25, 60)), "en", "s", 1, *[f"{c}{i}" for c in names]) for i in range(40)]
+    rows += [rows[0]] + [(100 + i, t, "en", None, 1, *[f"{c}{100 + i}" for c in names]) for i, t in enumerate([None, "", rows[1][1]])]
+    df = spark.createDataFrame(rows, DOCS + ", " + ", ".join(f"`{c}` string" for c in names))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = ranking.train(df, labels)
+    filters = {"rules": quality_rules.filter_documents(df), "ranking": ranking.filter_documents(df, model), "dedup": simhash.dedup_documents(df), "mix": mixing.mix_documents(df)}
+    for name, out in filters.items():
+        assert out.columns == df.columns, name
+        found = out.collect()
+        assert found, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in found for c in names), name
+    sharded = sharding.shard_documents(df, 2)
+    assert sharded.columns == [*df.columns, "shard", "grown_shard", "bucket", "slot"] and sharded.count() == len(rows)
+    assert all(r[c] == f"{c}{r.doc_id}" for r in sharded.collect() for c in names)
