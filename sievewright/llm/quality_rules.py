@@ -1,23 +1,27 @@
 """Quality rules: robust multivariate outliers per language and source.
 
 Each document gets counts from its whole text; a base rule on them fails very short and very repetitive
-texts. The others become a vector of transformed statistics. For each (language, source) the minimum
-covariance determinant estimate of centre and scatter comes from concentration steps: starting at medians
-and absolute deviations, the share H of rows with the smallest Mahalanobis distances gives the next centre
-and scatter. A document is rejected when its distance to the final estimate is beyond the chi-square
-cut-off. Groups of under MIN_GROUP rows, too small for an estimate of their own, use that of all rows.
+texts. The others become a vector of transformed statistics. For each (language, source), and for all rows
+together, the minimum covariance determinant estimate of centre and scatter comes from concentration steps: the
+share H of rows with the smallest Mahalanobis distances gives the next centre and scatter. Three starts (medians
+with quarter-ranges, mean with covariance, medians with noise) take two steps each; the one with the smallest
+determinant goes on until its determinant no longer falls. Then one reweighting step takes all rows within the
+quantile REWEIGHT. A group's estimate is drawn towards that of all rows by SHRINK / (n + SHRINK), which small groups
+feel and large ones don't. A document is rejected when its distance is beyond the chi-square cut-off.
 
 A step is one aggregation: distances fall into fine logarithmic bins, counts and moments are summed by
-(group, bin) with partial sums, and the bins up to the share H give the moments. No group meets in a task,
-all rows take part, and the estimates stay a table of one row a group.
+(group, start, bin) with partial sums, and the bins up to the share H give the moments. No group meets in a task,
+all rows take part, and the estimates stay a table of one row a group and start.
 
-Many statistics are zero in almost all clean texts, so that scatter alone would reject any text with one
-symbol; FLOOR is the least standard deviation of each, in transformed units. It is a least value only: in units of
-it, no direction of the scatter is narrower than 1, and where the estimate is wider the estimate decides.
+Many statistics are zero in almost all clean texts, so that scatter alone would reject any text with one symbol.
+No direction of the scatter is taken as narrower than the noise of counting in a text of the group's typical length
+n: a sum of n word lengths of mean m varies by sqrt(m / n) around m, and the root of a Poisson count's share by
+1 / (2 sqrt(n)), times four for repeated words, which come in two windows of eight at least. Nothing here is set by
+hand but SHRINK, H and the two quantiles; log words have a numerical least value only.
 
 Defined cases: NULL and blank texts have zero counts and fail the base rule; NULL languages and sources are
 groups of their own; NULL ids stay; repeated rows count as often as they occur; an empty table stays empty;
-further columns are ignored by the query and kept by the filter.
+further columns are ignored by the query and kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage
+from .common import cut_lineage, set_aside
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -40,15 +44,17 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: Share of a group's rows that a concentration step keeps, number of steps, and rows for an own estimate.
-H, STEPS, MIN_GROUP = 0.75, 4, 100
-#: Probability that a clean normal vector stays within the cut-off.
-KEEP = 0.99999
+#: Share of a group's rows that a concentration step keeps, and the most steps.
+H, STEPS = 0.75, 10
+#: Probability that a normal vector stays within the reweighting step, and within the cut-off.
+REWEIGHT, KEEP = 0.975, 0.99999
+#: Rows that the estimate of all rows counts for in a group's.
+SHRINK = 200
 #: log words, mean word length, root of symbols per word, of repeated lines and of repeated words per word.
-#: 0.04 puts one symbol or repeated line in a text of MIN_WORDS words at the cut-off.
-FLOOR = (0.1, 0.2, 0.04, 0.04, 0.2)
-DIMS = len(FLOOR)
-#: Estimates, of some 200 bytes each, that may be broadcast.
+DIMS = 5
+#: Key of all rows; a group's key is never empty.
+ALL = ""
+#: Estimates, of some 300 bytes each, that may be broadcast.
 BROADCAST_GROUPS = 20_000
 #: Files that the estimates, a row a group, are written to at each step.
 ESTIMATE_PARTITIONS = 8
@@ -128,94 +134,176 @@ def chi_square_cdf(x: float, k: int) -> float:
     return NormalDist().cdf(((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)))
 
 
-#: The scatter of the inner share H of a normal vector is this much too small.
-CONSISTENCY = H / chi_square_cdf(chi_square_quantile(H, DIMS), DIMS + 2)
+def consistency(share: float) -> float:
+    """The scatter of the inner share of a normal vector is this much too small."""
+    return share / chi_square_cdf(chi_square_quantile(share, DIMS), DIMS + 2)
+
+
 _TRI = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
-_PARAMS = T.StructType([T.StructField("key", T.StringType()), T.StructField("n", T.LongType()), T.StructField("centre", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))])
+_DOUBLES = T.ArrayType(T.DoubleType())
+_ESTIMATE = T.StructType([T.StructField("key", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("n", T.LongType()), *[T.StructField(c, _DOUBLES) for c in ("centre", "scatter", "inverse")], T.StructField("logdet", T.DoubleType())])
 
 
-def sized(groups: DataFrame) -> DataFrame:
-    """Estimates to join with: broadcast while their number is checked to be small, else left to the planner."""
-    return F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
+def noise(centre: np.ndarray) -> np.ndarray:
+    """Least standard deviations around a centre: the noise of counting in a text of its length."""
+    n = math.exp(min(max(centre[0], 0.0), 50.0))
+    share = 0.5 / math.sqrt(n)
+    return np.array([1e-3, math.sqrt(max(centre[1], 1.0) / n), share, share, share * math.sqrt(2 * WINDOW)])
 
 
-def _distance(x: list[Column], centre: Column, inverse: Column) -> Column:
-    d = [x[i] - centre[i] for i in range(DIMS)]
-    return sum((inverse[k] * d[i] * d[j] * (1 if i == j else 2) for k, (i, j) in enumerate(_TRI)), F.lit(0.0))
+def inverse_of(centre: np.ndarray, scatter: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse and log determinant of a scatter that is nowhere narrower than the noise."""
+    unit = noise(centre)
+    width, axes = np.linalg.eigh(scatter / np.outer(unit, unit))
+    width = np.maximum(width, 1.0)
+    return (axes / width) @ axes.T / np.outer(unit, unit), float(np.log(width).sum() + 2 * np.log(unit).sum())
+
+
+def _rows(found: list[tuple[str, int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(key, start, n, centre, scatter) to estimates."""
+    keys, starts, ns, centres, scatters = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [], [])
+    solved = [inverse_of(c, s) for c, s in zip(centres, scatters, strict=True)]
+    tri = lambda m: [float(m[i, j]) for i, j in _TRI]
+    doubles = pa.list_(pa.float64())
+    arrays = [pa.array(keys, pa.string()), pa.array(starts, pa.int32()), pa.array(ns, pa.int64()), pa.array([c.tolist() for c in centres], doubles), pa.array([tri(s) for s in scatters], doubles), pa.array([tri(p) for p, _ in solved], doubles), pa.array([d for _, d in solved], pa.float64())]
+    return pa.RecordBatch.from_arrays(arrays, names=_ESTIMATE.names)
+
+
+def _square(tri: list[float]) -> np.ndarray:
+    out = np.zeros((DIMS, DIMS))
+    for v, (i, j) in zip(tri, _TRI, strict=True):
+        out[i, j] = out[j, i] = v
+    return out
+
+
+def _moments(row: dict, m: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    centre = np.array([row[f"s{i}"] for i in range(DIMS)]) / m
+    scatter = _square([row[f"s{i}_{j}"] / m - centre[i] * centre[j] for i, j in _TRI])
+    return centre, scatter * factor
 
 
 def _estimates(moments: DataFrame, factor: float) -> DataFrame:
-    """Moments (key, n, m, s1.., s11..) to centre and inverse scatter; a small matrix a row."""
-    unit = np.outer(FLOOR, FLOOR)
+    """Moments (key, start, n, c, s0.., s0_0..) to estimates; a small matrix a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _rows([(r["key"], r["start"], r["n"], *_moments(r, r["c"], factor)) for r in b.to_pylist()])
+
+    return moments.coalesce(ESTIMATE_PARTITIONS).mapInArrow(run, _ESTIMATE)
+
+
+def _starts(middle: DataFrame) -> DataFrame:
+    """Quartiles q0.. and moments of a key's rows to its three starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = b.column(2).to_numpy(zero_copy_only=False).astype(float)
-            sums = np.array([b.column(3 + k).to_numpy(zero_copy_only=False) for k in range(DIMS + len(_TRI))]).T.reshape(-1, DIMS + len(_TRI))
-            centre = sums[:, :DIMS] / m[:, None]
-            inverse = []
-            for r in range(len(m)):
-                scatter = np.zeros((DIMS, DIMS))
-                for k, (i, j) in enumerate(_TRI):
-                    scatter[i, j] = scatter[j, i] = sums[r, DIMS + k] / m[r] - centre[r, i] * centre[r, j]
-                width, axes = np.linalg.eigh(scatter * factor / unit)
-                p = (axes / np.maximum(width, 1.0)) @ axes.T / unit
-                inverse.append([p[i, j] for i, j in _TRI])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(centre.tolist(), pa.list_(pa.float64())), pa.array(inverse, pa.list_(pa.float64()))], names=_PARAMS.names)
-
-    return moments.mapInArrow(run, _PARAMS)
+            found = []
+            for r in b.to_pylist():
+                low, median, high = np.array([r[f"q{i}"] for i in range(DIMS)]).T
+                # a quarter-range of a normal variable is 1.349 standard deviations
+                found += [(r["key"], 0, r["n"], median, np.diag(((high - low) / 1.349) ** 2)), (r["key"], 1, r["n"], *_moments(r, r["n"], 1.0)), (r["key"], 2, r["n"], median, np.diag(noise(median) ** 2))]
+            yield _rows(found)
+
+    return middle.coalesce(ESTIMATE_PARTITIONS).mapInArrow(run, _ESTIMATE)
+
+
+def sized(groups: DataFrame) -> DataFrame:
+    """Estimates to join with: broadcast while their number is checked to be small, else left to the planner."""
+    return F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
+
+
+def _distance(x: list[Column], centre: Column, inverse: Column) -> Column:
+    d = [x[i] - centre[i] for i in range(DIMS)]
+    return sum((inverse[k] * d[i] * d[j] * (1 if i == j else 2) for k, (i, j) in enumerate(_TRI)), F.lit(0.0))
 
 
 def minimum_covariance_determinant(rows: DataFrame) -> DataFrame:
-    """Rows (key, x array of DIMS doubles) to (key, n, centre, inverse), a row for each key."""
+    """Rows (key, x array of DIMS doubles) to estimates, a row for each key, reweighted."""
     x = [F.col("x")[i] for i in range(DIMS)]
-    middle = rows.groupBy("key").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(x)], F.count("*").alias("n"))
-    # a quarter-range of a normal variable is 1.349 standard deviations
-    spread = [F.greatest(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2), F.lit(FLOOR[i] ** 2)) for i in range(DIMS)]
-    params = middle.select("key", "n", F.array(*[F.col(f"q{i}")[1] for i in range(DIMS)]).alias("centre"), F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in _TRI]).alias("inverse"))
-    for _ in range(STEPS):
-        near = rows.join(sized(params), "key").withColumn("bin", F.floor(F.log2(_distance(x, F.col("centre"), F.col("inverse")) + 1e-6) * BINS_PER_OCTAVE))
-        sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in _TRI]
-        binned = near.groupBy("key", "bin").agg(F.count("*").alias("c"), F.first("n").alias("n"), *sums)
-        names = [c for c in binned.columns if c not in ("key", "bin", "n")]
-        # the bins of a key are bounded in number by the range of doubles
-        before = F.coalesce(F.sum("c").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inner = binned.withColumn("before", before).where(F.col("before") < H * F.col("n"))
-        moments = inner.groupBy("key").agg(F.first("n").alias("n"), *[F.sum(c).alias(c) for c in names]).select("key", "n", *names)
-        params = cut_lineage(_estimates(moments.coalesce(ESTIMATE_PARTITIONS), CONSISTENCY))
-    return params
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in _TRI]
+    middle = rows.groupBy("key").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(x)], F.count("*").alias("n"), *sums)
 
+    def near(params: DataFrame) -> DataFrame:
+        return rows.join(sized(params.select("key", "start", "n", "centre", "inverse")), "key").withColumn("d", _distance(x, F.col("centre"), F.col("inverse")))
 
-def _keyed(counted: DataFrame) -> DataFrame:
-    """``counted`` with base_failed, the vector x (NULL where the base rule fails) and the group's key."""
-    counted = counted.drop("base_failed", "distance", "kept", "x", "key").withColumn("base_failed", base_failed())
-    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    return counted.withColumn("x", F.when(~F.col("base_failed"), F.array(*statistics()))).withColumn("key", F.concat_ws("\x1f", name("lang"), name("source")))
+    def step(params: DataFrame) -> DataFrame:
+        binned = near(params).withColumn("bin", F.floor(F.log2(F.col("d") + 1e-6) * BINS_PER_OCTAVE))
+        binned = binned.groupBy("key", "start", "bin").agg(F.count("*").alias("c"), F.first("n").alias("n"), *sums)
+        # the bins of a key are bounded in number by the range of doubles
+        before = F.coalesce(F.sum("c").over(Window.partitionBy("key", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        inner = binned.withColumn("before", before).where(F.col("before") < H * F.col("n"))
+        names = [c for c in binned.columns if c not in ("key", "start", "bin", "n")]
+        return cut_lineage(_estimates(inner.groupBy("key", "start").agg(F.first("n").alias("n"), *[F.sum(c).alias(c) for c in names]), consistency(H)))
+
+    whole = F.struct(*_ESTIMATE.names)
+    now = step(step(cut_lineage(_starts(middle))))
+    now = now.groupBy("key").agg(F.min_by(whole, F.struct("logdet", "start")).alias("e")).select("e.*")
+    settled = None
+    for _ in range(STEPS - 2):
+        after = step(now).select("key", whole.alias("a")).join(now.select("key", whole.alias("b")), "key")
+        falls = F.col("a.logdet") < F.col("b.logdet") - 1e-4
+        after = cut_lineage(after.select(falls.alias("falls"), F.when(falls, F.col("a")).otherwise(F.col("b")).alias("e")).select("falls", "e.*").coalesce(ESTIMATE_PARTITIONS))
+        done, now = after.where("not falls").drop("falls"), after.where("falls").drop("falls")
+        settled = done if settled is None else settled.unionByName(done)
+        if now.isEmpty():
+            break
+    settled = cut_lineage(settled.unionByName(now).coalesce(ESTIMATE_PARTITIONS))
+    inner = near(settled).where(F.col("d") <= chi_square_quantile(REWEIGHT, DIMS))
+    return cut_lineage(_estimates(inner.groupBy("key", "start").agg(F.first("n").alias("n"), F.count("*").alias("c"), *sums), consistency(REWEIGHT)))
+
+
+def shrunk(groups: DataFrame, everything: Row) -> DataFrame:
+    """Groups' estimates drawn towards that of all rows, small groups more."""
+    centre, scatter = np.array(everything["centre"]), _square(everything["scatter"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for r in b.to_pylist():
+                own = r["n"] / (r["n"] + SHRINK)
+                found.append((r["key"], r["start"], r["n"], own * np.array(r["centre"]) + (1 - own) * centre, own * _square(r["scatter"]) + (1 - own) * scatter))
+            yield _rows(found)
 
-def fit(counted: DataFrame) -> tuple[DataFrame, Row | None]:
-    """Counts with lang and source to the groups' estimates and the estimate of all rows."""
-    rows = cut_lineage(_keyed(counted).where("not base_failed").select("key", "x"))
-    groups = minimum_covariance_determinant(rows).where(F.col("n") >= MIN_GROUP)
-    return groups.drop("n"), minimum_covariance_determinant(rows.withColumn("key", F.lit("all"))).first()
+    return groups.mapInArrow(run, _ESTIMATE)
 
 
-def judge(counted: DataFrame, model: tuple[DataFrame, Row | None]) -> DataFrame:
-    """``counted`` with base_failed, distance and kept."""
-    groups, everything = model
-    found = _keyed(counted).join(sized(groups), "key", "left")
-    x = [F.col("x")[i] for i in range(DIMS)]
-    if everything is not None:
-        found = found.withColumn("centre", F.coalesce("centre", F.lit(everything["centre"]))).withColumn("inverse", F.coalesce("inverse", F.lit(everything["inverse"])))
-    found = found.withColumn("distance", F.when(~F.col("base_failed"), _distance(x, F.col("centre"), F.col("inverse"))))
+def _keyed(counted: DataFrame, lang: str, source: str) -> DataFrame:
+    """``counted`` with base_failed, the vector x (NULL where the base rule fails) and the group's key."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
+    return counted.withColumn("base_failed", base_failed()).withColumn("x", F.when(~F.col("base_failed"), F.array(*statistics()))).withColumn("key", F.concat_ws("\x1f", name(lang), name(source)))
+
+
+def fit(counted: DataFrame, lang: str = "lang", source: str = "source") -> tuple[DataFrame, Row] | None:
+    """Counts with language and source to the groups' estimates and that of all rows; None without rows."""
+    rows = cut_lineage(_keyed(counted, lang, source).where("not base_failed").select("key", "x"))
+    found = minimum_covariance_determinant(rows.select(F.explode(F.array("key", F.lit(ALL))).alias("key"), "x"))
+    everything = found.where(F.col("key") == ALL).first()
+    if everything is None:
+        return None
+    return shrunk(found.where(F.col("key") != ALL), everything).select("key", "centre", "inverse"), everything
+
+
+def judge(counted: DataFrame, model: tuple[DataFrame, Row] | None, lang: str = "lang", source: str = "source") -> DataFrame:
+    """``counted`` with base_failed, distance and kept; its other columns must not bear the names x, key, centre and inverse."""
+    found = _keyed(counted, lang, source)
+    if model is None:
+        distance = F.lit(None).cast("double")
+    else:
+        groups, everything = model
+        found = found.join(sized(groups), "key", "left")
+        centre, inverse = F.coalesce("centre", F.lit(everything["centre"])), F.coalesce("inverse", F.lit(everything["inverse"]))
+        distance = F.when(~F.col("base_failed"), _distance([F.col("x")[i] for i in range(DIMS)], centre, inverse))
+    found = found.withColumn("distance", distance)
     kept = ~F.col("base_failed") & (F.col("distance") <= chi_square_quantile(KEEP, DIMS))
     return found.withColumn("kept", F.coalesce(kept, F.lit(False))).drop("x", "key", "centre", "inverse")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns. The texts are read twice and never moved."""
-    model = fit(with_counts(docs.select("text", "lang", "source")))
-    return judge(with_counts(docs, keep_text=True), model).where("kept").select(*docs.columns)
+    rows, names, back = set_aside(docs)
+    text, lang, source = (names[c] for c in ("text", "lang", "source"))
+    model = fit(with_counts(rows.select(text, lang, source), text), lang, source)
+    return back(judge(with_counts(rows, text, keep_text=True), model, lang, source).where("kept"))
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -100,29 +100,72 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.op2(empty).count() == 0 and quality_rules.filter_documents(empty).columns == empty.columns
 
 
-def test_mcd_matches_numpy(spark):
-    """The estimates of a clean group come close to its mean and covariance, whatever a tenth of outliers says."""
+def numpy_mcd(x):
+    """Centre and scatter by exact concentration steps on sorted distances, with the operator's starts and reweighting."""
+    q = quality_rules
+    size = -(-len(x) * 3 // 4)
+    cov = lambda y: np.cov(y.T, bias=True).reshape(q.DIMS, q.DIMS)
+    far = lambda c, s: np.einsum("ij,jk,ik->i", x - c, q.inverse_of(c, s)[0], x - c)
+    median, low, high = (np.quantile(x, p, axis=0) for p in (0.5, 0.25, 0.75))
+    best = None
+    for c, s in ((median, np.diag(((high - low) / 1.349) ** 2)), (x.mean(0), cov(x)), (median, np.diag(q.noise(median) ** 2))):
+        for _ in range(30):
+            near = x[np.argsort(far(c, s), kind="stable")[:size]]
+            c, s = near.mean(0), cov(near) * q.consistency(q.H)
+        if best is None or q.inverse_of(c, s)[1] < best[0]:
+            best = (q.inverse_of(c, s)[1], c, s)
+    near = x[far(*best[1:]) <= q.chi_square_quantile(q.REWEIGHT, q.DIMS)]
+    return near.mean(0), cov(near) * q.consistency(q.REWEIGHT)
+
+
+def test_quality_verdicts_against_numpy(spark):
+    """Distances and verdicts of three groups, one of them small, against exact steps on sorted distances."""
+    q = quality_rules
+    rng = random.Random(21)
+    rows = []
+    for i in range(900):
+        t = words(rng, int(rng.lognormvariate(4.6, 0.7)) + 20).split()
+        if i % 9 == 0:
+            t = [w + "#" * rng.randrange(3) + "x" * rng.randrange(4) for w in t]
+        rows.append((i, " ".join(t), "en" if i % 2 else "fr", "small" if i % 30 == 0 else "s1", 1))
+    found = {r.doc_id: r for r in q.op2(spark.createDataFrame(rows, DOCS)).collect()}
+    counts = np.array([q.base_counts(t) for _, t, *_ in rows], float)
+    ok = (counts[:, 0] >= 20) & (100 * counts[:, 4] <= 30 * counts[:, 0])
+    n = counts[:, 0]
+    x = np.column_stack([np.log(n), counts[:, 1] / n, *[np.sqrt(counts[:, k] / n) for k in (2, 3, 4)]])
+    centre, scatter = numpy_mcd(x[ok])
+    cut = q.chi_square_quantile(q.KEEP, q.DIMS)
+    for group in {r[2:4] for r in rows}:
+        own = ok & np.array([r[2:4] == group for r in rows])
+        c, s = numpy_mcd(x[own])
+        a = own.sum() / (own.sum() + q.SHRINK)
+        c, s = a * c + (1 - a) * centre, a * s + (1 - a) * scatter
+        d = np.einsum("ij,jk,ik->i", x - c, q.inverse_of(c, s)[0], x - c)
+        for i in np.flatnonzero(own):
+            got = found[int(i)]
+            assert abs(got.distance - d[i]) <= 0.25 * d[i] + 0.3, (group, got.distance, d[i])
+            if abs(d[i] - cut) > 0.25 * cut:
+                assert got.kept == bool(d[i] <= cut)
+    assert any(not r.kept for r in found.values()) and sum(r.kept for r in found.values()) > 700
+
+
+def test_estimates_do_not_follow_outliers(spark):
+    """The estimates of a clean group come close to its mean and covariance, whatever a tenth of outliers says;
+    where there is no scatter the noise of counting stands in."""
+    q = quality_rules
     rng = np.random.default_rng(4)
-    x = rng.normal(size=(4000, quality_rules.DIMS)) * 2 + 5
+    x = rng.normal(size=(4000, q.DIMS)) * 2 + 5
     x[:400] += 60
-    rows = spark.createDataFrame([("k", r.tolist()) for r in x], "key string, x array<double>")
-    found = quality_rules.minimum_covariance_determinant(rows).first()
-    assert np.abs(np.array(found.centre) - 5).max() < 0.3
-    inverse = dict(zip(quality_rules._TRI, found.inverse, strict=True))
-    assert all(0.1 < inverse[i, i] < 0.4 for i in range(quality_rules.DIMS))
-
-
-def test_floors_are_least_values(spark):
-    """Where the scatter is wider than the floors it decides alone; where it is none, the floors are the scatter."""
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(4000, quality_rules.DIMS)) * 0.4
-    flat = np.zeros((200, quality_rules.DIMS))
-    rows = spark.createDataFrame([("k", r.tolist()) for r in x] + [("flat", r.tolist()) for r in flat] + [("line", [v] * quality_rules.DIMS) for v in x[:500, 0].tolist()], "key string, x array<double>")
-    found = {r.key: r.inverse for r in quality_rules.minimum_covariance_determinant(rows).collect()}
-    diagonal = {k: [v[i] for i, (a, b) in enumerate(quality_rules._TRI) if a == b] for k, v in found.items()}
-    assert np.allclose(np.array(diagonal["k"]) * 0.16, 1, atol=0.2)
-    assert np.allclose(np.array(diagonal["flat"]) * np.square(quality_rules.FLOOR), 1)
-    assert np.isfinite(found["line"]).all()
+    flat = np.full((200, q.DIMS), 5.0)
+    rows = spark.createDataFrame([("k", r.tolist()) for r in x] + [("flat", r.tolist()) for r in flat] + [("line", [v] * q.DIMS) for v in x[400:900, 0].tolist()] + [("one", [5.0] * q.DIMS)], "key string, x array<double>")
+    found = {r.key: r for r in q.minimum_covariance_determinant(rows).collect()}
+    assert len(found) == 4
+    assert np.abs(np.array(found["k"].centre) - 5).max() < 0.3
+    width = {k: [v.scatter[i] for i, (a, b) in enumerate(q._TRI) if a == b] for k, v in found.items()}
+    assert np.allclose(width["k"], 4, atol=0.6)
+    inverse = [v for v, (a, b) in zip(found["flat"].inverse, q._TRI, strict=True) if a == b]
+    assert np.allclose(np.array(inverse) * q.noise(np.full(q.DIMS, 5.0)) ** 2, 1)
+    assert np.isfinite(found["line"].inverse).all() and np.isfinite(found["one"].inverse).all()
 
 
 def test_far_outliers_are_rejected(spark):
