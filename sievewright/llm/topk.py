@@ -1,21 +1,24 @@
 """Exact top-k search by no-random-access aggregation.
 
 Each vector's components stand in lists, one for each dimension, sorted by value. For a query, a component
-times the query's is a score, and the lists are read from the end where these are highest, all to the same
-depth. What a vector has shown so far plus the list's remaining extremes bounds its inner product from below
-and above. Reading stops when no vector outside the best k by lower bound has an upper bound that reaches the
-k-th lower bound, when few are left, or at half of the lists at the latest; those still possible get their final
-scores by full inner products, ties going to smaller ids.
+times the query's is a score, and each list is read from the end where these are highest, all to the same depth.
+A vector's lower bound is what it has shown plus the least that each list it has not shown up in still holds, and
+its upper bound is what it has shown plus the scores last read in those lists. Reading goes on in steps until no
+vector outside the best k by lower bound has an upper bound that reaches the k-th lower bound; nothing else ends it
+but the ends of the lists. The k winners then get their final scores, ties going to smaller ids. As long as the sum of
+the scores last read reaches the k-th lower bound, even a vector that showed up nowhere could still qualify, and
+upper bounds of single vectors need no look.
 
 The queries, a stated share of the rows, meet all vectors in blocks: vectors and queries are dealt by hash
-into blocks of bounded size, and each pair of blocks is one task's work. A block's lists are sorted once;
-bounds of many queries are kept as matrices, and depths grow by doubling. The best k of each block are
-merged by query with their ranks.
+into blocks of bounded size, and each pair of blocks is one task's work. Every query must meet every vector, so a
+vector travels once for each block of queries, in two bytes a component where the values allow it. The best k of each
+block are merged by query with their ranks.
 
 Defined cases: vectors that are NULL or hold NULL or non-finite components take no part; of vectors of unlike
-lengths the missing components count as zero; a row is compared with every row but itself, so a repeated
-vector under another id is a candidate, and a repeated id is taken once with its smallest vector; scores
-beyond a long's range end at its limits; an empty table gives an empty result.
+lengths the missing components count as zero; a row is compared with every row of another id, so a repeated
+vector under another id is a candidate, and rows of a repeated id are candidates each (rows of a repeated query id
+share its k results); scores beyond a long's range end at its limits; an empty table gives an empty result; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 K = 5
 SCALE = 256
 #: Rows of a block of vectors and of a block of queries.
-VECTORS, QUERIES = 8192, 2048
-#: Queries whose bounds are kept at once.
-AT_ONCE = 128
+VECTORS, QUERIES = 8192, 8192
+#: Steps that the lists are read in.
+STEPS = 32
 _LIMIT = 2**63
 
 
@@ -46,65 +49,64 @@ def quantise(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id") -
 
 
 class Block:
-    """Vectors with their sorted lists."""
+    """Vectors with their sorted lists. ``reads`` counts the entries read from lists, ``entries`` those there were."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        by_value = np.argsort(self.x, axis=0, kind="stable")
-        self.lists = np.take_along_axis(self.x, by_value, axis=0)
-        self.rank = np.empty_like(by_value, dtype=np.int32)
-        np.put_along_axis(self.rank, by_value, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
-
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
-        """(query index, vec_id, score) of the best k of this block for each query, itself left out."""
-        n, m = self.x.shape[0], len(queries)
-        up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T
-        own = self.ids[:, None] == query_ids[None, :]
-        alive = ~own
-        exact = np.abs(self.x).max(initial=0) * np.abs(queries).max(initial=0) * max(1, self.x.shape[1]) < 2**53
-        depth = max(1, n // 8)
-        while depth < n:
-            high, low = self.rank >= n - depth, self.rank < depth
-            last_high, last_low = self.lists[n - depth], self.lists[depth - 1]
-            # seen from above for positive components of the query, from below for negative ones
-            seen = np.where(high, self.x, 0) @ up + np.where(low, self.x, 0) @ down
-            open_up, open_down = (~high).astype(float), (~low).astype(float)
-            upper = seen + (open_up * last_high) @ up + (open_down * last_low) @ down
-            lower = seen + (open_up * self.lists[0]) @ up + (open_down * self.lists[-1]) @ down
-            lower[own] = -np.inf
-            kth = np.partition(lower, max(0, n - k), axis=0)[max(0, n - k)]
-            slack = 0.0 if exact else 1e-9 * np.abs(upper).max(initial=0)
-            alive = ~own & (upper >= kth - slack)
-            if not exact or int(alive.sum()) <= 4 * k * m or not self._worth(alive, depth, n):
+        up = np.argsort(self.x, axis=0, kind="stable").astype(np.int32)
+        # rows are depths, columns are lists: row p holds the entry that is read p-th, from below and from above
+        self.order = (up, np.ascontiguousarray(up[::-1]))
+        self.value = tuple(np.take_along_axis(self.x, o, axis=0) for o in self.order)
+        self.rank = np.empty_like(up)
+        np.put_along_axis(self.rank, up, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        self.reads = self.entries = 0
+
+    def search(self, query: np.ndarray, query_id: int, k: int) -> tuple[list[int], list[int]]:
+        """(vec_id, score) of the best k of this block, rows of the query's own id left out."""
+        own = self.ids == query_id
+        lists = np.flatnonzero(query)  # a list of zeros says nothing
+        q, above = query[lists], query[lists] > 0
+        n, rest = len(self.ids), int((~own).sum())
+        if not rest:
+            return [], []
+        pick = lambda pair, a, b: np.where(above, pair[1][a:b, lists], pair[0][a:b, lists])
+        worst = pick(self.value, n - 1, n)[0] * q
+        biggest = max(float(np.abs(self.x).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, self.x.shape[1]), 0.0)
+        exact = biggest < 2**53
+        slack = 0.0 if exact else biggest * 2.0**-40
+        lower = np.full(n, worst.sum())
+        lower[own] = -np.inf
+        place = max(0, n - min(k, rest))
+        depth, step = 0, max(1, -(-n // STEPS))
+        left = np.flatnonzero(~own)
+        self.entries += n * len(lists)
+        while depth < n and len(lists):
+            upto = min(n, depth + step)
+            scores = pick(self.value, depth, upto) * q
+            lower += np.bincount(pick(self.order, depth, upto).ravel(), weights=(scores - worst).ravel(), minlength=n)
+            depth, last = upto, scores[-1]
+            self.reads += scores.size
+            kth = np.partition(lower, place)[place]
+            if last.sum() >= kth - slack and depth < n:
+                continue
+            # what lists in which a vector has not shown up may still give, beyond the worst
+            at = self.rank[np.ix_(left, lists)]
+            hidden = np.where(above, n - 1 - at, at) >= depth
+            left = left[lower[left] + hidden @ (last - worst) >= kth - slack]
+            if len(left) <= k:
                 break
-            depth *= 2
-        return self._resolve(alive, queries, k, exact)
-
-    @staticmethod
-    def _worth(alive: np.ndarray, depth: int, n: int) -> bool:
-        """Whether reading on is cheaper than the final scores of those that are left."""
-        return alive.mean() > 0.02 and depth * 2 < n
-
-    def _resolve(self, alive: np.ndarray, queries: np.ndarray, k: int, exact: bool) -> tuple[list[int], list[int], list[int]]:
-        at, ids, scores = [], [], []
-        for q in range(alive.shape[1]):
-            left = np.flatnonzero(alive[:, q])
-            if exact:
-                s = self.x[left] @ queries[q]
-                if len(left) > k:
-                    top = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    left, s = left[top], s[top]
-                best = np.lexsort((self.ids[left], -s))[:k]
-                values = s[best].astype(np.int64).tolist()
-            else:
-                whole = [sum(int(a) * int(b) for a, b in zip(self.x[i], queries[q], strict=True)) for i in left]
-                best = sorted(range(len(left)), key=lambda i: (-whole[i], self.ids[left[i]]))[:k]
-                values = [max(-_LIMIT, min(_LIMIT - 1, whole[i])) for i in best]
-            at += [q] * len(best)
-            ids += self.ids[left[best]].tolist()
-            scores += values
-        return at, ids, scores
+        return self._resolve(left, query, k, exact)
+
+    def _resolve(self, left: np.ndarray, query: np.ndarray, k: int, exact: bool) -> tuple[list[int], list[int]]:
+        """Final scores of those that may be among the best; more than k are left only by ties and by rounding."""
+        if exact:
+            s = self.x[left] @ query
+            best = np.lexsort((self.ids[left], -s))[:k]
+            return self.ids[left[best]].tolist(), s[best].astype(np.int64).tolist()
+        whole = [sum(int(a) * int(b) for a, b in zip(self.x[i], query, strict=True)) for i in left]
+        best = sorted(range(len(left)), key=lambda i: (-whole[i], self.ids[left[i]]))[:k]
+        return self.ids[left[best]].tolist(), [max(-_LIMIT, min(_LIMIT - 1, whole[i])) for i in best]
 
 
 def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -112,33 +114,43 @@ def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
     arr = col.combine_chunks()
     lengths = np.diff(arr.offsets.to_numpy())
     out = np.zeros((len(arr), width))
-    values = arr.flatten().to_numpy(zero_copy_only=False)
+    values = arr.flatten().to_numpy(zero_copy_only=False).astype(float)
     if len(lengths) and (lengths == width).all():
         return values.reshape(len(arr), width)
     out[np.arange(width)[None, :] < lengths[:, None]] = values
     return out
 
 
+def _shape(df: DataFrame) -> tuple[int, float]:
+    """Number of rows and largest component, without its sign."""
+    n, most = df.agg(F.count("*"), F.max(F.array_max(F.transform("v", lambda e: F.abs(e))))).first()
+    return n, most or 0.0
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = VECTORS, query_block: int = QUERIES) -> DataFrame:
     """(vec_id, v) against queries of the same form: query_id, rank, vec_id, score."""
-    vectors = vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    v_blocks = max(1, -(-vectors.count() // block))
-    q_blocks = max(1, -(-queries.count() // query_block))
-    home = lambda c, blocks: F.pmod(F.xxhash64(F.lit(5), c), F.lit(blocks)).cast("int")
+    (n, most), (m, most_asked) = _shape(vectors), _shape(queries)
+    v_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
+    kind = "smallint" if max(most, most_asked) < 2**15 else "int" if max(most, most_asked) < 2**31 else "double"
+    packed = F.col("v").cast(f"array<{kind}>").alias("v")
+    # rows, not ids, are dealt out, as one id may be on many rows
+    home = lambda c, blocks: F.pmod(F.xxhash64(F.lit(5), c, F.col("v")), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = vectors.select("vec_id", "v", home("vec_id", v_blocks).alias("vb"), every(q_blocks).alias("qb"))
-    right = queries.select("query_id", "v", home("query_id", q_blocks).alias("qb"), every(v_blocks).alias("vb"))
+    left = vectors.select("vec_id", packed, home("vec_id", v_blocks).alias("vb"), every(q_blocks).alias("qb"))
+    right = queries.select(F.col("vec_id").alias("query_id"), packed, home("vec_id", q_blocks).alias("qb"), every(v_blocks).alias("vb"))
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         got: tuple[list, list, list] = ([], [], [])
         if a.num_rows and b.num_rows:
             width = max(int(pc.max(pc.list_value_length(t["v"])).as_py() or 0) for t in (a, b))
-            vectors = Block(a["vec_id"].to_numpy(), _matrix(a["v"], width))
-            asked, who = _matrix(b["v"], width), b["query_id"].to_numpy()
-            for i in range(0, len(who), AT_ONCE):
-                at, ids, scores = vectors.search(asked[i : i + AT_ONCE], who[i : i + AT_ONCE], k)
-                got[0].extend(who[i : i + AT_ONCE][at].tolist()), got[1].extend(ids), got[2].extend(scores)
+            asked, who = _matrix(b["v"], width), b["query_id"].to_pylist()
+            ids, x = a["vec_id"].to_numpy(), _matrix(a["v"], width)
+            # equal rows fall into one block, which is worked through in parts of bounded size
+            for start in range(0, len(ids), 2 * block):
+                part = Block(ids[start : start + 2 * block], x[start : start + 2 * block])
+                for i, q in enumerate(who):
+                    found, scores = part.search(asked[i], q, k)
+                    got[0].extend([q] * len(found)), got[1].extend(found), got[2].extend(scores)
         return pa.table([pa.array(x, pa.int64()) for x in got], names=["query_id", "vec_id", "score"])
 
     parts = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(search, "query_id long, vec_id long, score long")
