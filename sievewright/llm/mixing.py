@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
-Each document gets a hash-random key. The key's leading digits name a range of the source's order, as many as the
-number of rows asks for, so sorting and summing go range by range: token counts are summed for each (source, range),
+Each document gets a hash-random key. Equal ranges of keys cut a source's order, as many as the rows of the largest
+source ask for, so sorting and summing go range by range: token counts are summed for each (source, range),
 prefix sums over the ranges give where each range starts, and a window inside each range gives where each document
 starts. No window spans a source, so a source with a third of all rows is spread over all its ranges. Where many
 rows share a key (NULL or repeated ids), the key is a range of its own, split by size. Rows meet their range's
@@ -19,8 +19,6 @@ columns are kept, whatever their names (``plan_mix`` replaces source_size, targe
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +27,9 @@ from .common import WORD, cut_lineage, set_aside
 WEIGHTS = (5, 2, 1)
 EPOCHS = 2
 SEED = "mix-1"
-#: Rows of a range, about, and how many times that makes a range heavy.
-RANGE_ROWS, HEAVY = 50_000, 8
+#: Rows of a range of the largest source at most, about, how many times that makes a range heavy, and the least number
+#: of ranges of a source.
+RANGE_ROWS, HEAVY, RANGES = 50_000, 8, 256
 
 
 def n_words(text: Column) -> Column:
@@ -56,12 +55,15 @@ def _ranged(rows: DataFrame, range_rows: int) -> DataFrame:
     """``rows`` (with m_id, m_source, size) with m_key, m_home (a name of the source that is never NULL) and m_range.
 
     Names of ranges sort as their keys do. A key that is a range of its own stands between the smaller and the
-    larger keys of its digits, which "~" sorts behind.
+    larger keys of its range, which "~" sorts behind.
     """
-    digits = max(1, math.ceil(math.log(max(rows.count() / range_rows, 1), 16)))
     key = F.md5(F.concat(F.coalesce(F.col("m_id").cast("string"), F.lit("")), F.lit(f":{SEED}")).cast("binary"))
     home = F.coalesce(F.concat(F.lit("="), F.col("m_source")), F.lit("-"))
-    rows = rows.withColumns({"m_key": key, "m_home": home}).withColumn("m_range", F.substring("m_key", 1, digits))
+    rows = rows.withColumns({"m_key": key, "m_home": home})
+    largest = rows.groupBy("m_home").count().agg(F.max("count")).first()[0] or 0
+    ranges = max(RANGES, -(-largest // range_rows))
+    place = F.floor(F.conv(F.substring("m_key", 1, 8), 16, 10).cast("long") * F.lit(ranges) / F.lit(1 << 32))
+    rows = rows.withColumn("m_range", F.lpad(place.cast("string"), 10, "0"))
     full = rows.groupBy("m_home", "m_range").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY * range_rows).select("m_home", "m_range")
     if full.isEmpty():
         return rows
@@ -71,7 +73,8 @@ def _ranged(rows: DataFrame, range_rows: int) -> DataFrame:
     # the last hot key that is not behind the row's own
     last = F.try_element_at(F.filter("m_hot", lambda k: k <= F.col("m_key")), F.lit(-1))
     own = F.concat("m_key", F.lit(":"), F.lpad(F.col("size").cast("string"), 19, "0"))
-    name = F.when(last.isNull(), F.col("m_range")).when(last == F.col("m_key"), own).otherwise(F.concat(last, F.lit("~")))
+    tail = F.when(last == F.col("m_key"), own).otherwise(F.concat(last, F.lit("~")))
+    name = F.when(last.isNull(), F.col("m_range")).otherwise(F.concat("m_range", F.lit(":"), tail))
     return rows.withColumn("m_range", name).drop("m_hot")
 
 
