@@ -265,6 +265,45 @@ def test_html_head_ends_at_text_and_raw_text_is_none(page_weights):
     assert got == "one two three\nfour five six"
 
 
+def test_html_names_roles_and_links(page_weights):
+    """What goes and what stays inside an article, with names that training has not seen."""
+    rng = random.Random(7)
+    lead, long, ending = words(rng, 12), words(rng, 60), words(rng, 9)
+    get = lambda body: html_text.extract(f"<body><nav>Menu one</nav><article><h1>{lead}</h1>{body}<p>{ending}</p></article>", page_weights)
+    links = "".join(f"<a href='/{i}'>{words(rng, 3)}</a> " for i in range(9))
+    gone = [
+        f"<div class='zz-top'>{links}</div>", f"<section id=qq><ul><li>{links}</ul></section>", f"<div role=complementary>{long}</div>", f"<div itemscope itemtype='https://schema.org/Comment'><p>{long}</div>",
+        f"<section class='responses'><article><p>{long}</p></article><article>{long}</article></section>", f"<div class='ad'>{long}</div>", f"<div id=comments><p>{long}</p></div>", f"<form>{long}</form>",
+    ]
+    for part in gone:
+        assert get(f"<p>{long}</p>{part}") == "\n".join([lead, long, ending]), part
+    stays = [f"<div class='{c}'><p>{long}</p></div>" for c in ("legal-news", "post share-price", "reply-to-critics", "related work", "x")]
+    stays += [f"<p title=it's>{long}</p>", f"<p title=it's id='b'>{long}</p>", f"<p data-x=\"a>b\" lang=fr>{long}</p>", f"<svg/><p>{long}</p>", f"<p>{long.replace(' ', ' <a href=x>', 1)}</a></p>"]
+    for part in stays:
+        assert get(part) == "\n".join([lead, long, ending]), part
+
+
+def test_html_learns_names_and_pages_without_content_element(spark):
+    """Names that stand outside the content of labelled pages are parts on others; named boxes that stand inside are not."""
+    rng = random.Random(9)
+    body = lambda k: "".join(f"<p>{words(rng, rng.randrange(8, 30))}</p>" for _ in range(k))
+    labelled = [f"<body><div class='teaser-box'>{words(rng, 12)}</div><article><div class='notice x1'>{body(2)}</div>{body(2)}</article><div class=wrap><div class='thread'>{body(3)}</div></div>" for _ in range(30)]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(labelled)], "page_id long, url string, html string")
+    weights = html_text.train(df)
+    a, b, c = (words(rng, 20) for _ in range(3))
+    assert html_text.extract(f"<body><article><p>{a}</p><div class='teaser-box'>{b}</div><div class=notice>{c}</div><div class='thread'><p>{b}</p></div></article>", weights) == f"{a}\n{c}"
+    assert html_text.extract(f"<body><div class='teaser-box'>{b}</div><p>{a}</p><p>{c}</p><footer>{b}</footer><div class=thread>{b}</div>", weights) == f"{a}\n{c}"
+
+
+def test_html_attribute_patterns_are_linear():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<p a=" * 30_000, "<p a='" * 30_000, "<p " + "a=b " * 50_000, '<p a="' + "x" * 10**6, "<p " + "'" * 10**6):
+        html_text.extract(page, html_text.Weights({}))
+    assert time.perf_counter() - began < 30
+
+
 def test_best_region_against_all_spans():
     rng = random.Random(3)
     for _ in range(200):
