@@ -36,3 +36,29 @@ def test_empty(spark):
     empty = spark.read.parquet(f"{DATA}/documents.parquet").where(F.lit(False))
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_odd_rows_and_columns(spark):
+    """NULLs in any column, blank and very long texts, ties, repeated rows, and columns with clashing names."""
+    plain = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(40).collect()]
+    rows = [(*r, f"k{r.doc_id}", 1) for r in plain]
+    rows += [(None, None, None, None, None, None, None), (9001, None, None, "s", None, "k", 2), (9002, "", "en", None, 0, "k", 3), (9003, " \n\t ", "en", "s", 5, "k", 4)]
+    rows += [rows[0], rows[0], (9004, " ".join(f"word{i % 977} end{i % 1013}" for i in range(150_000)), "en", "s", 1, "k", 5), (None, plain[1].text, None, None, 1, "k", 6), (None, plain[1].text, None, None, 1, "k", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, score int")
+    out = df
+    for name, stage in corpus_pipeline.STAGES:
+        before = out
+        out = stage(spark, before, DATA)
+        found = out.collect()
+        if name != "tokenising":
+            assert out.columns == df.columns, name
+            out = spark.createDataFrame(found, df.schema)
+            if name != "mixing":
+                assert {tuple(r) for r in found} <= {tuple(r) for r in before.collect()}, name
+    assert found and all(r.round_trip and r.n_tokens == len(r.ids) for r in found)
+    # each stage also takes rows that its predecessors would have dropped
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, DATA)
+        assert got.columns == df.columns or name == "tokenising"
+        n = got.count()
+        assert n == len(rows) if name == "tokenising" else n > 0, name
