@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, set_aside
@@ -33,6 +33,8 @@ SEGMENTS, BITS = 4, 16
 SEED = 42
 #: Links that a file holds between the steps of the component search.
 LINKS_A_FILE = 100_000
+#: Neighbours that make a node a hub at least, and hubs that there may be (of 16 bytes each, broadcast).
+HUB, HUBS = 100, 100_000
 #: Rows of one key that are compared at once.
 BLOCK = 2048
 #: Rows that a key may have before it is dealt out again.
@@ -248,19 +250,29 @@ def link_fingerprints(fps: DataFrame, most: int = KEY_ROWS) -> DataFrame:
     return links.distinct()
 
 
+def _with_least(pairs: DataFrame, least: Column, most: int) -> DataFrame:
+    """Pairs (u, v) with ``least`` of their u's group as m. Groups of more than ``most`` pairs are joined by broadcast:
+    there are fewer of them than pairs / most."""
+    groups = pairs.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    hubs = groups.where(F.col("n") > most).select("u", "m")
+    others = pairs.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(groups.where(F.col("n") <= most).select("u", "m"), "u")
+    return pairs.join(F.broadcast(hubs), "u").unionByName(others)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Links (u, v) to (node, root), root being the component's smallest node; roots and nodes without links are left out.
 
-    Minima are grouped with partial sums and joined back, so that no node's neighbours meet in one row.
+    Minima are grouped with partial sums and joined back, so that no node's neighbours meet in one row; those of
+    nodes with many neighbours don't meet in one task either.
     """
     edges = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state, files = None, edges.count() // LINKS_A_FILE + 1
+    n = edges.count()
+    state, files, most = None, n // LINKS_A_FILE + 1, max(HUB, 2 * n // HUBS)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_least(both, F.least(F.min("v"), F.col("u")), most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        small = _with_least(large, F.min("v"), most).where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         # a step adds no links; they are written to as many files as their number asks for
         edges = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -270,14 +282,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
+    """(doc_id, fp, component_id) for every row of ``docs``. Fingerprints of many copies and components of many
+    fingerprints, of which there are few, are joined by broadcast."""
     fps = cut_lineage(fingerprints(docs))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low_id"))
+    most = max(HUB, fps.count() // HUBS)
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low_id"), F.count("*").alias("copies"))
     roots = connected_components(link_fingerprints(nodes))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low_id", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-    component = rooted.join(lowest, "root").select("fp", "component_id")
-    return fps.join(component, "fp").select("doc_id", "fp", "component_id")
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low_id", "copies", F.coalesce("root", "fp").alias("u"))
+    component = cut_lineage(_with_least(rooted, F.min("low_id"), most).select("fp", "copies", F.col("m").alias("component_id")))
+    often = F.broadcast(component.where(F.col("copies") > most).drop("copies"))
+    others = fps.join(often.select("fp"), "fp", "left_anti").join(component.where(F.col("copies") <= most).drop("copies"), "fp")
+    return fps.join(often, "fp").unionByName(others).select("doc_id", "fp", "component_id")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
