@@ -177,7 +177,7 @@ def _pairs_of(platform: Column, host: Column, segments: Column, query: Column) -
 
 
 @lru_cache(maxsize=4)
-def _steps(gateway: int, entities: bool) -> tuple[dict[str, Column], ...]:
+def _steps(gateway: int) -> tuple[dict[str, Column], ...]:
     """The projections of ``with_identifiers``, each on what the ones before it made.
 
     They name temporary columns only, so they are built once for a JVM (thousands of gateway calls) and used
@@ -200,7 +200,7 @@ def _steps(gateway: int, entities: bool) -> tuple[dict[str, Column], ...]:
     twins = F.flatten(F.transform(mixed, lambda p: F.array(identifier(p, x.latin_variant(p["value"]), F.lit("variant:latin")), identifier(p, x.cyrillic_variant(p["value"]), F.lit("variant:cyrillic")))))
     found = F.concat(F.transform(c("_pairs"), lambda p: identifier(p, p["value"], plain)), F.filter(twins, lambda i: i["value"].isNotNull()))
     return (
-        {"_address": x.clean_address(c("_raw"), entities)},
+        {"_address": x.clean_address(c("_raw"))},
         {"_address": F.when(c("_address") != "", full)},
         {f"_{n}": F.regexp_extract(c("_address"), form, i) for i, n in enumerate(("netloc", "path", "query"), 1)},
         {"_netloc": F.when(~c("_netloc").rlike(odd), F.substring_index(F.substring_index(c("_netloc"), "@", 1), ":", 1))},
@@ -211,12 +211,9 @@ def _steps(gateway: int, entities: bool) -> tuple[dict[str, Column], ...]:
     )
 
 
-def with_identifiers(df: DataFrame, address: str, out: str = "identifiers", entities: bool = True) -> DataFrame:
-    """``df`` with the identifiers of the address in column ``address``; none for NULL and for what is no address.
-
-    ``entities=False`` leaves character references alone, which keeps the plan free of Python.
-    """
+def with_identifiers(df: DataFrame, address: str, out: str = "identifiers") -> DataFrame:
+    """``df`` with the identifiers of the address in column ``address``; none for NULL and for what is no address."""
     df = df.withColumn("_raw", F.col(address))
-    for step in _steps(id(df.sparkSession.sparkContext._gateway), entities):
+    for step in _steps(id(df.sparkSession.sparkContext._gateway)):
         df = df.withColumns(step)
     return df.withColumn(out, F.col("_found")).drop(*_TEMP)

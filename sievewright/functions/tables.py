@@ -84,6 +84,12 @@ KNOWN_TLDS = tuple(
     )
 )
 
+# --- fixed values: what the scanners of running text look for (patterns of Java) -------------
+URL_PATTERN = "(?i)(?:https?://|www\\.)[^\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000<>\"'«»]+"
+DOMAIN_PATTERN = r"(?U)(?<![\w/@.-])((?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,12})(?![\w@.-])"
+HANDLE_PATTERN = r"(?U)(?<![\w/@.])@([A-Za-z][\w.]{3,31})\b"
+SPELLED_ID_PATTERN = r"(?iU)последовательност[ьи]\s+цифр\s*:?\s*(\d[\d\s]*)"
+
 # --- fixed values: path words that name no account -------------------------------------------
 RESERVED = {
     "telegram": ("s", "c", "joinchat", "addstickers", "share", "proxy", "socks"),

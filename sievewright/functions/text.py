@@ -1,4 +1,4 @@
-"""Text functions, Column to Column. All but ``decode_entities`` and ``fold_text`` stay in the JVM.
+"""Text functions, Column to Column. All but ``fold_text`` stay in the JVM.
 
 Java's ``\\w``, ``\\d`` and ``\\s`` are ASCII unless ``(?U)`` is set; patterns that mean Unicode say so.
 """
@@ -6,6 +6,8 @@ Java's ``\\w``, ``\\d`` and ``\\s`` are ASCII unless ``(?U)`` is set; patterns t
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import lru_cache
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,10 +17,6 @@ from pyspark.sql import types as T
 from . import tables as t
 
 SPACE = r"[\s\u001c-\u001f]"
-_URL = "(?i)(?:https?://|www\\.)[^\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000<>\"'«»]+"
-_DOMAIN = r"(?U)(?<![\w/@.-])((?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,12})(?![\w@.-])"
-_HANDLE = r"(?U)(?<![\w/@.])@([A-Za-z][\w.]{3,31})\b"
-_SPELLED_ID = r"(?iU)последовательност[ьи]\s+цифр\s*:?\s*(\d[\d\s]*)"
 
 
 def translate(c: Column, table: Mapping[str, str]) -> Column:
@@ -48,24 +46,54 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(s: pd.Series) -> pd.Series:
-    import html
-
-    return s.map(html.unescape, na_action="ignore")
+# --- HTML character references -------------------------------------------------------------------
+@lru_cache(maxsize=1)
+def _references() -> tuple[str, str, str]:
+    """All references that end in a semicolon with their texts, marked off in one text; a pattern of the names that
+    need no semicolon, longest first; and what the numbers 128 to 159 stand for."""
+    named = "\x01".join(["", *(f"{k}\x02{v}" for k, v in html5.items() if k.endswith(";")), ""])
+    legacy = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+    western = "".join(b.decode("cp1252", "ignore") or chr(b[0]) for b in (bytes([n]) for n in range(128, 160)))
+    return named, "^(?:" + "|".join(legacy) + ")", western
+
+
+def _character(n: Column) -> Column:
+    """The text of a numbered reference; NULL stands for a number beyond all bounds."""
+    unknown = n.isNull() | (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    nothing = n.between(1, 8) | (n == 11) | n.between(14, 31) | (n == 127) | n.between(0xFDD0, 0xFDEF) | (n % 65536 >= 65534)
+    plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    western = F.call_function("substring", F.lit(_references()[2]), n.cast("int") - 127, F.lit(1))
+    return F.when(unknown, F.lit("\ufffd")).when(n.between(128, 159), western).when(nothing, F.lit("")).otherwise(plain)
+
+
+def _reference(p: Column) -> Column:
+    """A text after an ampersand, without further ones, with the reference that it begins with decoded."""
+    named, legacy, _ = _references()
+    decimal, hexadecimal = F.regexp_extract(p, "^#0*([0-9]+);?", 1), F.regexp_extract(p, "^#[xX]0*([0-9A-Fa-f]+);?", 1)
+    rest = F.regexp_replace(p, "^#(?:[0-9]+|[xX][0-9A-Fa-f]+);?", "")
+    whole, part = F.regexp_extract(p, "^[^\t\n\f <#;]{1,32};", 0), F.regexp_extract(p, legacy, 0)
+    key = lambda name: F.concat(F.lit("\x01"), name, F.lit("\x02"))
+    value = lambda name: F.substring_index(F.call_function("substring_index", F.lit(named), key(name), F.lit(-1)), "\x01", 1)
+    after = lambda name: F.call_function("substring", p, F.length(name) + 1)
+    number = lambda digits, most, base: F.when(F.length(digits) <= most, F.conv(digits, base, 10).try_cast("long"))
+    return (
+        F.when(decimal != "", F.concat(_character(number(decimal, 9, 10)), rest))
+        .when(hexadecimal != "", F.concat(_character(number(hexadecimal, 8, 16)), rest))
+        .when((whole != "") & (F.call_function("instr", F.lit(named), key(whole)) > 0), F.concat(value(whole), after(whole)))
+        .when(part != "", F.concat(value(F.concat(part, F.lit(";"))), after(part)))
+        .otherwise(F.concat(F.lit("&"), p))
+    )
 
 
 def decode_entities(c: Column) -> Column:
-    """HTML character references, with the legacy ones that need no semicolon. Only texts with & leave the JVM."""
-    some = F.instr(c, "&") > 0
-    return F.when(some, _unescape(F.when(some, c))).otherwise(c)
+    """HTML character references, with the legacy ones that need no semicolon."""
+    parts = F.split(c, "&")
+    return F.when(F.instr(c, "&") > 0, F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), _reference), ""))).otherwise(c)
 
 
-def clean_address(raw: Column, entities: bool = True) -> Column:
+def clean_address(raw: Column) -> Column:
     """An address without what running text puts around and into it."""
-    x = strip(raw)
-    if entities:
-        x = decode_entities(x)
+    x = decode_entities(strip(raw))
     x = F.translate(x, t.INVISIBLE, "")
     x = F.split(x, rf"(?U)(?:&nbsp;|\u00a0|{SPACE})+")[0]
     x = F.substring_index(F.substring_index(x, ";", 1), ",", 1)
@@ -163,23 +191,23 @@ def is_checkable_host(c: Column) -> Column:
 
 # --- scanners ----------------------------------------------------------------------------------
 def find_urls(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(_URL), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(t.URL_PATTERN), F.lit(0))
 
 
 def find_bare_domains(c: Column) -> Column:
-    found = F.regexp_extract_all(F.regexp_replace(c, _URL, " "), F.lit(_DOMAIN), F.lit(1))
+    found = F.regexp_extract_all(F.regexp_replace(c, t.URL_PATTERN, " "), F.lit(t.DOMAIN_PATTERN), F.lit(1))
     lowered = F.transform(found, lambda d: F.lower(d))
     return F.filter(lowered, lambda d: F.substring_index(d, ".", -1).isin(*t.KNOWN_TLDS) & (F.length(F.substring_index(d, ".", 1)) >= 2))
 
 
 def find_spelled_ids(c: Column) -> Column:
     """Numbers announced in words."""
-    found = F.regexp_extract_all(c, F.lit(_SPELLED_ID), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(t.SPELLED_ID_PATTERN), F.lit(1))
     return F.transform(found, lambda d: F.regexp_replace(d, rf"(?U){SPACE}", ""))
 
 
 def find_bare_handles(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(_HANDLE), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(t.HANDLE_PATTERN), F.lit(1))
 
 
 # --- other -------------------------------------------------------------------------------------

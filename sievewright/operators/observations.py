@@ -24,15 +24,15 @@ def unrolled(df: DataFrame, columns: list[str], array: str = "_ids") -> DataFram
     return df.select(*columns, F.posexplode_outer(array).alias("ident_pos", "_i")).where("ident_pos is not null")
 
 
-def of_addresses(df: DataFrame, address: str, entities: bool = True) -> DataFrame:
+def of_addresses(df: DataFrame, address: str) -> DataFrame:
     """Rows (obs_seq, trace_type, source, occurred_at, address) to one row for each identifier, ``ident_pos`` in order."""
-    parsed = with_identifiers(df, address, "_ids", entities)
+    parsed = with_identifiers(df, address, "_ids")
     return unrolled(parsed, df.columns).select(*df.columns, "ident_pos", "_i.platform", "_i.kind", "_i.value", F.coalesce(F.nullif(F.col("_i.raw"), F.lit("")), "_i.value").alias("raw"))
 
 
-def of_visits(df: DataFrame, address: str, entities: bool = True) -> DataFrame:
+def of_visits(df: DataFrame, address: str) -> DataFrame:
     """As ``of_addresses``; an address without identifiers gives the first bare host in it, whatever it is."""
-    parsed = with_identifiers(df, address, "_ids", entities)
+    parsed = with_identifiers(df, address, "_ids")
     host = x.normalize_host(F.get(x.find_bare_domains(F.col(address)), F.lit(0)))
     bare = F.when(host.isNotNull(), F.array(F.struct(F.lit("web").alias("platform"), F.lit("domain").alias("kind"), host.alias("value"))))
     parsed = parsed.withColumn("_ids", F.transform("_ids", lambda i: F.struct(i["platform"].alias("platform"), i["kind"].alias("kind"), i["value"].alias("value"))))

@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 # --- addresses ---------------------------------------------------------------------------------------
 @query(f"SELECT 'web:domain:' || {i.PAGE_HOST_SQL} AS key, count(*) AS n FROM pages GROUP BY 1")
 def visited_domain_counts(spark, sf_dir):
-    found = observations.of_visits(i.table(spark, sf_dir, "pages").select("url"), "url", entities=False)
+    found = observations.of_visits(i.table(spark, sf_dir, "pages").select("url"), "url")
     return found.groupBy(x.key(F.col("platform"), F.col("kind"), F.col("value")).alias("key")).agg(F.count("*").alias("n"))
 
 
@@ -127,7 +127,7 @@ def _address_query(platform: str) -> None:
     def run(spark, sf_dir):
         s = i.suppliers(spark, sf_dir)
         address = i.by_case(F.col("s_suppkey"), [i.filled(c, H=F.col("as_typed"), h=F.col("as_handle"), k=F.col("k")) for c, _ in cases])
-        found = a.with_identifiers(s.withColumn("address", address), "address", entities=False)
+        found = a.with_identifiers(s.withColumn("address", address), "address")
         return observations.unrolled(found, ["s_suppkey"], "identifiers").select("s_suppkey", "ident_pos", "_i.platform", "_i.kind", "_i.value")
 
     parts = [
@@ -222,7 +222,7 @@ def platform_samples(spark, sf_dir):
 # --- observations ------------------------------------------------------------------------------------
 @query(f"WITH {i.TRACES_CTE} SELECT obs_seq, platform, kind, value FROM o")
 def trace_observations(spark, sf_dir):
-    return observations.of_visits(i.traces(spark, sf_dir), "url", entities=False).select("obs_seq", "platform", "kind", "value")
+    return observations.of_visits(i.traces(spark, sf_dir), "url").select("obs_seq", "platform", "kind", "value")
 
 
 @query(
@@ -232,13 +232,13 @@ SELECT value, sum(c)::BIGINT AS visits, max(d) AS occurred_at, arg_min(url, page
 def history_collapse(spark, sf_dir):
     pages = i.table(spark, sf_dir, "pages")
     visits = pages.select(F.col("page_id").alias("obs_seq"), "url", (F.col("page_id") % 7 + 1).alias("visit_count"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 30).cast("int")).alias("occurred_at"))
-    return observations.collapse_visits(observations.of_visits(visits, "url", entities=False)).select("value", "visits", "occurred_at", "raw", "obs_seq")
+    return observations.collapse_visits(observations.of_visits(visits, "url")).select("value", "visits", "occurred_at", "raw", "obs_seq")
 
 
 @query(f"WITH v AS (SELECT page_id, {i.PAGE_HOST_SQL} AS value FROM pages WHERE page_id % 3 = 0) SELECT value, min(page_id) AS obs_seq FROM v GROUP BY 1")
 def bookmarks_first(spark, sf_dir):
     marks = i.table(spark, sf_dir, "pages").where("page_id % 3 = 0").select(F.col("page_id").alias("obs_seq"), "url")
-    return observations.first_by_key(observations.of_visits(marks, "url", entities=False), "obs_seq", "ident_pos").select("value", "obs_seq")
+    return observations.first_by_key(observations.of_visits(marks, "url"), "obs_seq", "ident_pos").select("value", "obs_seq")
 
 
 @query("SELECT event_id, ts::DATE AS d1601, CASE WHEN event_id % 10 <> 0 THEN ts::DATE END AS d1970 FROM events")
@@ -332,7 +332,7 @@ m AS (SELECT obs_seq, obs_platform, entry_id, ident_id, CASE WHEN exact THEN 'ex
 
 
 def _matches(spark, sf_dir):
-    seen = observations.of_visits(i.traces(spark, sf_dir), "url", entities=False)
+    seen = observations.of_visits(i.traces(spark, sf_dir), "url")
     return matching.match(seen, *i.reference(spark, sf_dir))
 
 

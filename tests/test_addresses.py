@@ -59,9 +59,21 @@ def test_host(spark, host, want):
     assert spark.range(1).select(once, text.normalize_host(once)).first() == (want, want)
 
 
-def test_plain_addresses_stay_in_the_jvm(spark):
-    plan = addresses.with_identifiers(spark.createDataFrame([("x",)], "u string"), "u", entities=False)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_character_references(spark):
+    import html
+    import random
+
+    rng = random.Random(3)
+    parts = ["&", "amp", ";", "#", "x", "copy", "reg", "not", "notit;", "AElig;", "lt", "gt;", "123", "128;", "x80", "0", "xD800;", "1114112;", "x10FFFF", "65535;", "99999999999999999999;", "ngE;", "NotEqualTilde;", " ", "<", "é", "=1", "frac12", "zzzz" * 9 + ";", "#38;", "#x26", "#0;", "#11;", "#150;", "#xFDD0;"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(1500)] + ["?x=1&copy=2&reg=1", "&" + "a" * 40 + ";", "&&&", "&nbsp;", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", text.decode_entities(F.col("t")).alias("d")).collect():
+        assert r.d == (None if texts[r.i] is None else html.unescape(texts[r.i])), texts[r.i]
+
+
+def test_addresses_stay_in_the_jvm(spark):
+    plan = addresses.with_identifiers(spark.createDataFrame([("x",)], "u string"), "u")._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "pythonUDF" not in plan
 
 
 def test_scanners(spark):
