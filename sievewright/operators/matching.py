@@ -2,7 +2,9 @@
 
 One equi-join on the value serves both tiers. A pair is exact if platform and kind agree too; else it is
 probable, unless the kinds are bound to their platform or the value is short. Of the identifiers of one entry
-that an observation meets, the exact one stands, else the first.
+that an observation meets, the exact one stands, else the first. An observation is told apart by its whole key: phase,
+number, part and place where it has them, what it shows, and how and where that was seen. So the two identifiers of one
+address, or a page both visited and saved, match on their own; rows that agree in all of these are one observation.
 
 The reference list is broadcast while its size is checked to be small; beyond that the planner joins by
 shuffle. Either way the one-sided parts of the probable rule are tested before the join.
@@ -15,16 +17,22 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 
-#: Identifiers of some 200 bytes each that may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Where an observation stands, and all that tells it from others.
+PLACE = ("phase", "obs_seq", "part", "ident_pos")
+KEY = (*PLACE, "platform", "kind", "value", "trace_type", "source")
+#: Bytes of identifiers that may be broadcast, and their number where bytes are not known before they are made.
+BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 200_000
 
 
 def _sized(index: DataFrame) -> DataFrame:
-    return F.broadcast(index) if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else index
+    """The list, to be broadcast behind a check of its size: what a snapshot or a cache says of it, else a count."""
+    known = int(str(index._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(index) if known <= BROADCAST_BYTES or index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else index
 
 
 def match(observations: DataFrame, entries: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Observations against the list; ``obs_seq`` must be unique."""
+    """Observations against the list: a row for each observation and entry that it meets."""
+    own = [c for c in KEY if c in observations.columns]
     live = identifiers.join(entries.where("not is_cancelled").select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
     index = live.select("entry_id", "ident_id", F.col("platform").alias("list_platform"), F.col("kind").alias("list_kind"), "value", F.col("raw").alias("registry_raw"))
     shareable = lambda kind: ~F.col(kind).isin(*t.BOUND_KINDS)
@@ -32,24 +40,29 @@ def match(observations: DataFrame, entries: DataFrame, identifiers: DataFrame) -
     index = index.withColumn("_shared", shareable("list_kind"))
     pairs = seen.join(_sized(index), "value").withColumn("_exact", (F.col("platform") == F.col("list_platform")) & (F.col("kind") == F.col("list_kind")))
     pairs = pairs.where("_exact or (_shares and _shared)")
-    place = F.row_number().over(Window.partitionBy("obs_seq", "entry_id").orderBy(F.desc("_exact"), "ident_id"))
+    place = F.row_number().over(Window.partitionBy(*own, "entry_id").orderBy(F.desc("_exact"), "ident_id"))
     best = pairs.withColumn("_place", place).where("_place = 1")
     reason = (
-        F.when(F.col("_exact"), F.lit("значение совпадает полностью"))
-        .when(F.col("platform") == F.col("list_platform"), F.concat(F.lit("то же имя, но в реестре оно записано как «"), F.col("list_kind"), F.lit("»")))
-        .otherwise(F.concat(F.lit("такое же имя значится в реестре на площадке «"), F.col("list_platform"), F.lit("» — у одного и того же субъекта часто несколько «зеркал»")))
+        F.when(F.col("_exact"), F.lit("same identifier"))
+        .when(F.col("platform") == F.col("list_platform"), F.concat(F.lit("same name, listed as "), F.col("list_kind")))
+        .otherwise(F.concat(F.lit("same name, listed on "), F.col("list_platform")))
     )
     return best.select(
-        "obs_seq", "entry_id", "ident_id",
+        *[c for c in PLACE if c in observations.columns], "entry_id", "ident_id",
         F.when(F.col("_exact"), F.lit(t.EXACT)).otherwise(F.lit(t.PROBABLE)).alias("confidence"),
         F.col("list_platform").alias("platform"), F.col("list_kind").alias("kind"), "value", "registry_raw", reason.alias("reason"),
-        F.col("platform").alias("obs_platform"), *[c for c in ("trace_type", "source", "raw", "occurred_at") if c in observations.columns],
+        F.col("platform").alias("obs_platform"), F.col("kind").alias("obs_kind"), *[c for c in ("trace_type", "source", "raw", "occurred_at") if c in observations.columns],
     )
 
 
+def arrival(matches: DataFrame) -> list[str]:
+    """The columns that tell the order of arrival."""
+    return [c for c in PLACE if c in matches.columns]
+
+
 def in_order(matches: DataFrame) -> DataFrame:
     """Exact ones first, then by the observation's platform, then as they came."""
-    return matches.orderBy(F.col("confidence") != t.EXACT, "obs_platform", "obs_seq", F.col("confidence") != t.EXACT, "ident_id")
+    return matches.orderBy(F.col("confidence") != t.EXACT, "obs_platform", *arrival(matches), "ident_id")
 
 
 def summary(matches: DataFrame) -> DataFrame:

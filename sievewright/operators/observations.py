@@ -12,7 +12,7 @@ from ..functions import tables as t
 from ..functions import text as x
 from ..functions.addresses import with_identifiers
 
-COLUMNS = ("obs_seq", "platform", "kind", "value", "trace_type", "source", "raw", "occurred_at")
+COLUMNS = ("obs_seq", "ident_pos", "platform", "kind", "value", "trace_type", "source", "raw", "occurred_at")
 
 
 def unrolled(df: DataFrame, columns: list[str], array: str = "_ids") -> DataFrame:
@@ -61,21 +61,22 @@ def collapse_visits(visits: DataFrame) -> DataFrame:
         F.max("occurred_at").alias("occurred_at"),
         F.min_by("raw", seq).alias("raw"),
         F.min("obs_seq").alias("obs_seq"),
+        F.min_by("ident_pos", seq).alias("ident_pos"),
     )
 
 
 def first_by_key(observations: DataFrame, *order: str) -> DataFrame:
-    """The first observation of each key; ``order`` must be total."""
-    place = F.row_number().over(Window.partitionBy("platform", "kind", "value").orderBy(*order))
-    return observations.withColumn("_place", place).where("_place = 1").drop("_place")
+    """The first observation of each key; ``order`` must be total. Partial minima are taken before the shuffle."""
+    rows = observations.groupBy("platform", "kind", "value").agg(F.min_by(F.struct(*observations.columns), F.struct(*order)).alias("_first"))
+    return rows.select("_first.*")
 
 
 def browser_observations(history: DataFrame, bookmarks: DataFrame, label: str) -> DataFrame:
     """(seq, url, occurred_at, visit_count) and (seq, url) of one profile to observations."""
     base = {"trace_type": F.lit("visit"), "source": F.lit(label)}
     visits = of_visits(history.withColumnRenamed("seq", "obs_seq").withColumns(base), "url")
-    visits = collapse_visits(visits).withColumns({"trace_type": F.lit("visit"), "source": F.concat(F.lit(f"{label}, история — посещений: "), F.col("visits").cast("string"))})
-    saved = of_visits(bookmarks.withColumnRenamed("seq", "obs_seq").withColumns({"trace_type": F.lit("saved"), "source": F.lit(f"{label}, закладки"), "occurred_at": F.lit(None).cast("date")}), "url")
+    visits = collapse_visits(visits).withColumns({"trace_type": F.lit("visit"), "source": F.concat(F.lit(f"{label}: history, visits "), F.col("visits").cast("string"))})
+    saved = of_visits(bookmarks.withColumnRenamed("seq", "obs_seq").withColumns({"trace_type": F.lit("saved"), "source": F.lit(f"{label}: bookmarks"), "occurred_at": F.lit(None).cast("date")}), "url")
     saved = first_by_key(saved, "obs_seq", "ident_pos")
     return visits.select(F.lit(0).alias("phase"), *COLUMNS).unionByName(saved.select(F.lit(1).alias("phase"), *COLUMNS))
 
@@ -86,11 +87,11 @@ def dialog_observations(dialogs: DataFrame) -> DataFrame:
     e = F.col("entity")
     extra = F.transform(F.coalesce(e["usernames"], F.array().cast(dict(dialogs.select("entity.usernames").dtypes)["usernames"])), lambda u: u["username"])
     names = F.filter(F.array_distinct(F.concat(F.array(e["username"]), extra)), lambda n: n.isNotNull() & (n != ""))
-    where = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(e["title"], F.lit("")), F.lit("без названия"))
+    where = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(e["title"], F.lit("")), F.lit("untitled"))
     chat = x.chat_id(e["id"])
     pick = lambda kind, value, raw: F.struct(F.lit(kind).alias("kind"), value.alias("value"), raw.alias("raw"))
     found = F.concat(F.transform(names, lambda n: pick("handle", F.lower(n), F.concat(F.lit("@"), n))), F.filter(F.array(pick("numeric_id", chat, e["id"].cast("string"))), lambda i: i["value"] != ""))
-    rows = dialogs.where(e["cls"].isin(*t.SUBSCRIPTION_CLASSES)).select(F.col("seq").alias("obs_seq"), F.concat(F.lit("Telegram: подписки — «"), where, F.lit("»")).alias("source"), F.posexplode(found).alias("ident_pos", "i"))
+    rows = dialogs.where(e["cls"].isin(*t.SUBSCRIPTION_CLASSES)).select(F.col("seq").alias("obs_seq"), F.concat(F.lit("telegram: followed, "), where).alias("source"), F.posexplode(found).alias("ident_pos", "i"))
     return rows.select("obs_seq", "ident_pos", F.lit("telegram").alias("platform"), "i.kind", "i.value", F.lit("subscription").alias("trace_type"), "source", "i.raw", F.lit(None).cast("date").alias("occurred_at"))
 
 
@@ -118,20 +119,20 @@ def message_observations(messages: DataFrame) -> DataFrame:
     What was received stays apart from what was sent.
     """
     out = F.coalesce("out", F.lit(False))
-    author = F.when(out, F.lit("отправлено вами")).otherwise(F.lit("получено"))
-    label = lambda what: F.concat(F.lit(f"Telegram: {what} «"), F.col("dialog"), F.lit("» ("), author, F.lit(")"))
+    author = F.when(out, F.lit("sent")).otherwise(F.lit("received"))
+    label = lambda what: F.concat(F.lit("telegram: "), author, F.lit(f" {what}, "), F.col("dialog"))
     base = messages.withColumns({"obs_seq": F.col("seq"), "occurred_at": F.to_date("date")})
     peer = F.col("fwd_from.from_id")
     some = lambda c: F.when(c != 0, c)
     origin = x.chat_id(F.coalesce(some(peer["channel_id"]), some(peer["user_id"]), some(peer["chat_id"])))
     forwards = base.withColumn("value", origin).where(F.col("value") != "").select(
         "obs_seq", F.lit(0).alias("part"), F.lit(0).alias("ident_pos"), F.lit("telegram").alias("platform"), F.lit("numeric_id").alias("kind"), "value",
-        F.when(out, F.lit("repost")).otherwise(F.lit("repost_received")).alias("trace_type"), label("пересланное в").alias("source"), F.coalesce(F.nullif(F.col("fwd_from.from_name"), F.lit("")), F.col("value")).alias("raw"), "occurred_at",
+        F.when(out, F.lit("repost")).otherwise(F.lit("repost_received")).alias("trace_type"), label("forward").alias("source"), F.coalesce(F.nullif(F.col("fwd_from.from_name"), F.lit("")), F.col("value")).alias("raw"), "occurred_at",
     )
     empty = F.array().cast("array<string>")
     hidden = F.filter(F.transform("entities", lambda u: u["url"]), lambda u: u.isNotNull() & (u != ""))
     urls = F.concat(x.find_urls(F.coalesce("message", F.lit(""))), F.coalesce(hidden, empty))
-    links = base.select("obs_seq", "occurred_at", F.when(out, F.lit("link")).otherwise(F.lit("link_received")).alias("trace_type"), label("ссылка в").alias("source"), F.posexplode(urls).alias("_pos", "url"))
+    links = base.select("obs_seq", "occurred_at", F.when(out, F.lit("link")).otherwise(F.lit("link_received")).alias("trace_type"), label("link").alias("source"), F.posexplode(urls).alias("_pos", "url"))
     links = of_addresses(links, "url").withColumn("part", F.col("_pos") + 1)
     names = ("obs_seq", "part", "ident_pos", "platform", "kind", "value", "trace_type", "source", "raw", "occurred_at")
     return forwards.select(*names).unionByName(links.select(*names))

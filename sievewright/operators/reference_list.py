@@ -14,6 +14,10 @@ from ..functions import text as x
 from ..functions.addresses import IDENTIFIER, with_identifiers
 
 
+#: Numbers of rows that one window counts.
+BLOCK = 1 << 16
+
+
 def shape_rows(cells: DataFrame) -> DataFrame:
     """(row_index, cells array) to material_type, description, court; rows without cells go."""
     c = F.transform("cells", x.tidy)
@@ -42,38 +46,48 @@ def is_offline() -> Column:
     return F.exists(F.array(*[F.lit(m) for m in t.OFFLINE_MARKERS]), lambda m: F.contains(low, m))
 
 
-def entries_of(cells: DataFrame) -> DataFrame:
-    """Shaped rows without headers, flagged and numbered from 1 in row order as ``id``.
+def numbered(rows: DataFrame, name: str, by: str, *then: str) -> DataFrame:
+    """``rows`` numbered from 1 as ``name`` in the order of the whole number ``by``, then of ``then``.
 
-    Ids count over the whole list; a list has thousands of rows, so one window is enough.
+    Blocks of ``by`` are numbered each for itself, and start where the counts of the blocks before them end: no
+    window holds more than one block's rows, or a row for each block.
     """
+    blocked = rows.withColumn("_block", F.floor(F.col(by) / BLOCK))
+    counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_block", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(by, *then))
+    found = blocked.join(starts, "_block").withColumn(name, (place + F.col("_before")).cast("long"))
+    return found.drop("_block", "_before")
+
+
+def entries_of(cells: DataFrame) -> DataFrame:
+    """Shaped rows without headers, flagged and numbered from 1 in row order as ``id``."""
     rows = shape_rows(cells).where(~is_header())
-    return rows.withColumns({"is_cancelled": is_cancelled(), "is_offline": is_offline(), "id": F.row_number().over(Window.orderBy("row_index")).cast("long")})
+    return numbered(rows.withColumns({"is_cancelled": is_cancelled(), "is_offline": is_offline()}), "id", "row_index")
 
 
 def extract_identifiers(rows: DataFrame, text: str, row: str) -> DataFrame:
     """One row for each identifier in ``text``, first of its key: row, ident_pos, platform, kind, value, raw, notes.
 
-    Four scanners in turn: addresses, bare hosts, numbers in words, bare handles. A host that is also a
-    handle of the same row is its twin and goes.
+    Four scanners in turn: addresses, bare hosts, numbers in words, bare handles; their finds go through one pass.
+    A host that is also a handle of the same row is its twin and goes.
     """
-    c, base = F.col(text), rows.select(F.col(row).alias("_row"), F.col(text).alias("_text"))
-    scan = lambda n, found: base.select("_row", F.lit(n).alias("_scan"), F.posexplode(found(F.col("_text"))).alias("_pos", "_found"))
-    by_address = with_identifiers(scan(0, x.find_urls), "_found")
-    hosts = scan(1, x.find_bare_domains).withColumn("_host", x.normalize_host(F.col("_found")))
-    hosts = hosts.where(~F.col("_host").isin(*t.PLATFORM_OF_HOST) & x.is_checkable_host(F.col("_host")))
-
-    def single(df: DataFrame, platform: str, kind: str, value: Column, raw: Column, notes: Column | None = None) -> DataFrame:
+    finds = lambda n, found: F.transform(found(F.col(text)), lambda f, i: F.struct(F.lit(n).alias("scan"), i.alias("pos"), f.alias("found")))
+    every = F.concat(finds(0, x.find_urls), finds(1, x.find_bare_domains), finds(2, x.find_spelled_ids), finds(3, x.find_bare_handles))
+    found = rows.select(F.col(row).alias("_row"), F.explode_outer(every).alias("_f")).where("_f is not null").select("_row", F.col("_f.scan").alias("_scan"), F.col("_f.pos").alias("_pos"), F.col("_f.found").alias("_find"))
+    parsed = with_identifiers(found.withColumn("_url", F.when(F.col("_scan") == 0, F.col("_find"))), "_url")
+    host = x.normalize_host(F.when(F.col("_scan") == 1, F.col("_find")))
+    usable = ~host.isin(*t.PLATFORM_OF_HOST) & x.is_checkable_host(host)
+
+    def single(platform: str, kind: str, value: Column, raw: Column, notes: Column | None = None) -> Column:
         one = F.struct(F.lit(platform).alias("platform"), F.lit(kind).alias("kind"), value.alias("value"), raw.alias("raw"), (F.array().cast("array<string>") if notes is None else notes).alias("notes"))
-        return df.withColumn("identifiers", F.array(one).cast(IDENTIFIER)).select("_row", "_scan", "_pos", "identifiers")
+        return F.array(one).cast(IDENTIFIER)
 
-    found = (
-        by_address.select("_row", "_scan", "_pos", F.col("identifiers").cast(IDENTIFIER).alias("identifiers"))
-        .unionByName(single(hosts, "web", "domain", F.col("_host"), F.col("_found"), x.host_notes(F.col("_found"))))
-        .unionByName(single(scan(2, x.find_spelled_ids), "telegram", "numeric_id", F.col("_found"), F.col("_found")))
-        .unionByName(single(scan(3, x.find_bare_handles), "telegram", "handle", F.lower("_found"), F.concat(F.lit("@"), F.col("_found"))))
-    )
-    flat = found.select("_row", "_scan", "_pos", F.posexplode_outer("identifiers").alias("_sub", "i")).where("_sub is not null").select("_row", "_scan", "_pos", "_sub", "i.*")
+    f, scan = F.col("_find"), F.col("_scan")
+    bare = F.when(usable, single("web", "domain", host, f, x.host_notes(f))).otherwise(F.array().cast(IDENTIFIER))
+    named = F.when(scan == 0, F.col("identifiers").cast(IDENTIFIER)).when(scan == 1, bare).when(scan == 2, single("telegram", "numeric_id", f, f)).otherwise(single("telegram", "handle", F.lower(f), F.concat(F.lit("@"), f)))
+    flat = parsed.select("_row", "_scan", "_pos", F.posexplode_outer(named).alias("_sub", "i")).where("_sub is not null").select("_row", "_scan", "_pos", "_sub", "i.*")
     order = [F.col(k) for k in ("_scan", "_pos", "_sub")]
     first = F.row_number().over(Window.partitionBy("_row", "platform", "kind", "value").orderBy(*order))
     twin = F.max(F.when(F.col("kind") == "handle", 1)).over(Window.partitionBy("_row", "value"))
@@ -85,7 +99,7 @@ def extract_identifiers(rows: DataFrame, text: str, row: str) -> DataFrame:
 def identifiers_of(entries: DataFrame) -> DataFrame:
     """Identifiers of entries that are not cancelled, numbered from 1 as ``ident_id``."""
     found = extract_identifiers(entries.where("not is_cancelled"), "description", "id").withColumnRenamed("id", "entry_id")
-    return found.withColumn("ident_id", F.row_number().over(Window.orderBy("entry_id", "ident_pos")).cast("long"))
+    return numbered(found, "ident_id", "entry_id", "ident_pos")
 
 
 def active_identifiers(entries: DataFrame, identifiers: DataFrame) -> DataFrame:
@@ -112,28 +126,41 @@ def frequencies(identifiers: DataFrame, by: str) -> DataFrame:
     return identifiers.groupBy(by).agg(F.count("*").alias("n"), F.min("ident_id").alias("first_id")).orderBy(F.desc("n"), "first_id")
 
 
-def text_summary(entries: DataFrame, identifiers: DataFrame) -> str:
-    s = summary(entries, identifiers).first()
-    lines = [f"entries: {s['entries']}", f"  cancelled: {s['cancelled']}", f"  offline: {s['offline']}", f"  without identifiers: {s['without_identifiers']}", f"identifiers: {s['identifiers']}", f"  repaired: {s['repaired']}"]
+def summary_lines(entries: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """The list's figures as rows (section, place, label, n): totals, then frequencies by platform and by kind."""
+    totals = summary(entries, identifiers)
+    rows = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("label"), F.col(c).cast("long").alias("n")) for i, c in enumerate(totals.columns)])
+    out = totals.select(F.lit("list").alias("section"), F.inline(rows))
     for by in ("platform", "kind"):
-        lines += ["", f"by {by}:"] + [f"  {r[by]:<12} {r['n']}" for r in frequencies(identifiers, by).collect()]
-    return "\n".join(lines)
+        place = F.row_number().over(Window.orderBy(F.desc("n"), "first_id")) - 1  # a row for each platform or kind
+        out = out.unionByName(frequencies(identifiers, by).select(F.lit(by).alias("section"), place.alias("place"), F.col(by).alias("label"), "n"))
+    return out
+
+
+def text_summary(entries: DataFrame, identifiers: DataFrame) -> str:
+    rows = sorted(summary_lines(entries, identifiers).collect(), key=lambda r: (("list", "platform", "kind").index(r["section"]), r["place"]))
+    return "\n".join(f"{r['section']:<9}{r['label'].replace('_', ' ')}: {r['n']}" for r in rows)
 
 
 # --- snapshot --------------------------------------------------------------------------------------
 VERSION = "1"
 
 
+def snapshot_meta(entries: DataFrame, identifiers: DataFrame, source_name: str, source_sha256: str) -> DataFrame:
+    """(key, value): version, time, source and its digest, and the numbers of entries and identifiers."""
+    counts = [df.agg(F.count("*").cast("string").alias("value")).select(F.lit(key).alias("key"), "value") for key, df in (("entry_count", entries), ("identifier_count", identifiers))]
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    fixed = entries.sparkSession.range(1).select(F.explode(F.create_map(F.lit("builder_version"), F.lit(VERSION), F.lit("built_at"), now, F.lit("source_name"), F.lit(source_name), F.lit("source_sha256"), F.lit(source_sha256))))
+    return counts[0].unionByName(counts[1]).unionByName(fixed)
+
+
 def write_snapshot(entries: DataFrame, identifiers: DataFrame, path: str, source_name: str, source_sha256: str) -> DataFrame:
     """Writes the tables entries, identifiers and meta under ``path``; returns meta."""
     spark = entries.sparkSession
     entries.write.mode("overwrite").parquet(f"{path}/entries")
     identifiers.write.mode("overwrite").parquet(f"{path}/identifiers")
-    counts = spark.read.parquet(f"{path}/entries").agg(F.count("*").cast("string").alias("n")).select(F.lit("entry_count").alias("key"), F.col("n").alias("value"))
-    counts = counts.unionByName(spark.read.parquet(f"{path}/identifiers").agg(F.count("*").cast("string").alias("n")).select(F.lit("identifier_count").alias("key"), F.col("n").alias("value")))
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
-    fixed = spark.range(1).select(F.explode(F.create_map(F.lit("builder_version"), F.lit(VERSION), F.lit("built_at"), now, F.lit("source_name"), F.lit(source_name), F.lit("source_sha256"), F.lit(source_sha256))))
-    counts.unionByName(fixed).write.mode("overwrite").parquet(f"{path}/meta")
+    written = (spark.read.parquet(f"{path}/{name}") for name in ("entries", "identifiers"))
+    snapshot_meta(*written, source_name, source_sha256).write.mode("overwrite").parquet(f"{path}/meta")
     return spark.read.parquet(f"{path}/meta")
 
 

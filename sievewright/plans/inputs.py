@@ -53,6 +53,7 @@ DESCRIPTIONS = [
     "Чат, последовательность цифр 77{k}",
     "Профиль @{h} и https://ok.ru/group/5353{k}б99605",
     "Материал без адреса",
+    "Ролик https://www.tiktok.com/@{H}/video/88{k}; зеркало {h}.info",
 ]
 #: For each description its identifiers in order: platform, kind, value.
 EXPECTED = [
@@ -61,6 +62,7 @@ EXPECTED = [
     [("telegram", "numeric_id", "77{k}")],
     [("ok", "numeric_id", "5353{k}699605"), ("ok", "numeric_id", "5353{k}99605"), ("telegram", "handle", "{h}")],
     [],
+    [("tiktok", "handle", "{h}"), ("tiktok", "video", "88{k}")],
 ]
 
 
@@ -75,9 +77,9 @@ def list_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Entries and identifiers, kept in memory as an index is: both are read several times by a match."""
-    entries = reference_list.entries_of(list_cells(spark, sf_dir)).cache()
-    return entries, reference_list.identifiers_of(entries).cache()
+    """Entries and identifiers of the composed list."""
+    entries = reference_list.entries_of(list_cells(spark, sf_dir))
+    return entries, reference_list.identifiers_of(entries)
 
 
 def _identifiers_sql() -> str:
@@ -98,26 +100,32 @@ e AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS id, s_suppkey::INTEGER AS
 i0 AS ({_identifiers_sql()}),
 i AS (SELECT e.id AS entry_id, ident_pos, platform, kind, value, row_number() OVER (ORDER BY e.id, ident_pos) AS ident_id FROM i0 JOIN e ON e.s_suppkey = i0.entry_id)"""
 
-TRACES = ["https://t.me/{h}", "https://tiktok.com/@{h}", "https://vk.com/club{k}", "https://site-{k}.info/x?y=1", "https://www.youtube.com/c/{h}"]
-TRACES_SQL = [("telegram", "handle", "{h}"), ("tiktok", "handle", "{h}"), ("vk", "numeric_id", "{k}"), ("web", "domain", "site-{k}.info"), ("youtube", "handle", "{h}")]
+TRACES = ["https://t.me/{h}", "https://tiktok.com/@{h}/video/88{k}", "https://vk.com/club{k}", "https://site-{k}.info/x?y=1&z=2", "https://www.youtube.com/c/{h}"]
+#: For each address its identifiers in order.
+TRACES_SQL = [[("telegram", "handle", "{h}")], [("tiktok", "handle", "{h}"), ("tiktok", "video", "88{k}")], [("vk", "numeric_id", "{k}")], [("web", "domain", "site-{k}.info")], [("youtube", "handle", "{h}")]]
 SHARE = 1000
 
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits of pages, and addresses composed from parts that partly meet the list."""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("obs_seq"), "url")
+    """Visits of pages, and addresses composed from parts, both visited and saved, that partly meet the list."""
+    pages = table(spark, sf_dir, "pages").select(F.lit(0).alias("phase"), F.col("page_id").alias("obs_seq"), "url")
     k = F.floor(F.col("p_partkey") / len(TRACES)) % SHARE + 1
     h = F.concat(F.lit("supplier_"), F.lpad(k.cast("string"), 9, "0"))
     address = by_case(F.col("p_partkey"), [filled(c, h=h, k=k) for c in TRACES])
-    parts = table(spark, sf_dir, "part").select((F.col("p_partkey") + 1_000_000_000).alias("obs_seq"), address.alias("url"))
-    both = pages.select(F.col("obs_seq").cast("long").alias("obs_seq"), "url").unionByName(parts)
-    return both.withColumns({"trace_type": F.lit("visit"), "source": F.lit("history"), "occurred_at": F.lit(None).cast("date")})
+    parts = table(spark, sf_dir, "part").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("phase"), (F.col("p_partkey") + 1_000_000_000).alias("obs_seq"), address.alias("url"))
+    both = pages.select("phase", F.col("obs_seq").cast("long").alias("obs_seq"), "url").unionByName(parts)
+    how = lambda visited, saved: F.when(F.col("phase") == 0, F.lit(visited)).otherwise(F.lit(saved))
+    return both.withColumns({"trace_type": how("visit", "saved"), "source": how("history", "bookmarks"), "occurred_at": F.lit(None).cast("date")})
 
 
 def _traces_sql() -> str:
     names = {"h": f"'supplier_' || lpad((p_partkey // {len(TRACES)} % {SHARE} + 1)::VARCHAR, 9, '0')", "k": f"p_partkey // {len(TRACES)} % {SHARE} + 1"}
-    parts = [f"SELECT p_partkey + 1000000000 AS obs_seq, '{p}' AS platform, '{k}' AS kind, {filled_sql(v, **names)} AS value FROM part WHERE p_partkey % {len(TRACES)} = {n}" for n, (p, k, v) in enumerate(TRACES_SQL)]
-    return " UNION ALL ".join([f"SELECT page_id AS obs_seq, 'web' AS platform, 'domain' AS kind, {PAGE_HOST_SQL} AS value FROM pages", *parts])
+    parts = [
+        f"SELECT phase, p_partkey + 1000000000 AS obs_seq, {pos} AS ident_pos, '{p}' AS platform, '{k}' AS kind, {filled_sql(v, **names)} AS value FROM part, (VALUES (0), (1)) f(phase) WHERE p_partkey % {len(TRACES)} = {n}"
+        for n, found in enumerate(TRACES_SQL)
+        for pos, (p, k, v) in enumerate(found)
+    ]
+    return " UNION ALL ".join([f"SELECT 0 AS phase, page_id AS obs_seq, 0 AS ident_pos, 'web' AS platform, 'domain' AS kind, {PAGE_HOST_SQL} AS value FROM pages", *parts])
 
 
 PAGE_HOST_SQL = r"regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^(www\.|m\.)', '')"

@@ -220,9 +220,9 @@ def platform_samples(spark, sf_dir):
 
 
 # --- observations ------------------------------------------------------------------------------------
-@query(f"WITH {i.TRACES_CTE} SELECT obs_seq, platform, kind, value FROM o")
+@query(f"WITH {i.TRACES_CTE} SELECT phase, obs_seq, ident_pos, platform, kind, value FROM o")
 def trace_observations(spark, sf_dir):
-    return observations.of_visits(i.traces(spark, sf_dir), "url").select("obs_seq", "platform", "kind", "value")
+    return observations.of_visits(i.traces(spark, sf_dir), "url").select("phase", "obs_seq", "ident_pos", "platform", "kind", "value")
 
 
 @query(
@@ -235,9 +235,9 @@ def history_collapse(spark, sf_dir):
     return observations.collapse_visits(observations.of_visits(visits, "url")).select("value", "visits", "occurred_at", "raw", "obs_seq")
 
 
-@query(f"WITH v AS (SELECT page_id, {i.PAGE_HOST_SQL} AS value FROM pages WHERE page_id % 3 = 0) SELECT value, min(page_id) AS obs_seq FROM v GROUP BY 1")
+@query(f"WITH v AS (SELECT page_id, {i.PAGE_HOST_SQL} AS value FROM pages) SELECT value, min(page_id) AS obs_seq FROM v GROUP BY 1")
 def bookmarks_first(spark, sf_dir):
-    marks = i.table(spark, sf_dir, "pages").where("page_id % 3 = 0").select(F.col("page_id").alias("obs_seq"), "url")
+    marks = i.table(spark, sf_dir, "pages").select(F.col("page_id").alias("obs_seq"), "url")
     return observations.first_by_key(observations.of_visits(marks, "url"), "obs_seq", "ident_pos").select("value", "obs_seq")
 
 
@@ -323,12 +323,13 @@ def first_wins(spark, sf_dir):
 
 
 # --- matching ----------------------------------------------------------------------------------------
+_OBS = "phase, obs_seq, ident_pos"
 _MATCH_SQL = f"""{i.REFERENCE_SQL}, {i.TRACES_CTE},
-p AS (SELECT o.obs_seq, o.platform AS obs_platform, i.entry_id, i.ident_id, i.platform, i.kind, o.value, o.platform = i.platform AND o.kind = i.kind AS exact,
+p AS (SELECT o.phase, o.obs_seq, o.ident_pos, o.platform AS obs_platform, o.kind AS obs_kind, i.entry_id, i.ident_id, i.platform, i.kind, o.value, o.platform = i.platform AND o.kind = i.kind AS exact,
         o.kind NOT IN ('numeric_id', 'channel_id', 'video', 'post', 'invite') AND i.kind NOT IN ('numeric_id', 'channel_id', 'video', 'post', 'invite') AND length(o.value) >= 5 AS shared
       FROM o JOIN i ON o.value = i.value),
-m AS (SELECT obs_seq, obs_platform, entry_id, ident_id, CASE WHEN exact THEN 'exact' ELSE 'probable' END AS confidence, platform, kind, value FROM p WHERE exact OR shared
-      QUALIFY row_number() OVER (PARTITION BY obs_seq, entry_id ORDER BY exact DESC, ident_id) = 1)"""
+m AS (SELECT {_OBS}, obs_platform, obs_kind, entry_id, ident_id, CASE WHEN exact THEN 'exact' ELSE 'probable' END AS confidence, platform, kind, value FROM p WHERE exact OR shared
+      QUALIFY row_number() OVER (PARTITION BY {_OBS}, entry_id ORDER BY exact DESC, ident_id) = 1)"""
 
 
 def _matches(spark, sf_dir):
@@ -338,17 +339,17 @@ def _matches(spark, sf_dir):
 
 @query(f"WITH {_MATCH_SQL} SELECT * FROM m")
 def match_all(spark, sf_dir):
-    return matching.in_order(_matches(spark, sf_dir)).select("obs_seq", "obs_platform", "entry_id", "ident_id", "confidence", "platform", "kind", "value")
+    return matching.in_order(_matches(spark, sf_dir)).select("phase", "obs_seq", "ident_pos", "obs_platform", "obs_kind", "entry_id", "ident_id", "confidence", "platform", "kind", "value")
 
 
-@query(f"WITH {_MATCH_SQL} SELECT obs_seq, entry_id, ident_id FROM m WHERE confidence = 'exact'")
+@query(f"WITH {_MATCH_SQL} SELECT {_OBS}, entry_id, ident_id FROM m WHERE confidence = 'exact'")
 def match_exact(spark, sf_dir):
-    return _matches(spark, sf_dir).where("confidence = 'exact'").select("obs_seq", "entry_id", "ident_id")
+    return _matches(spark, sf_dir).where("confidence = 'exact'").select("phase", "obs_seq", "ident_pos", "entry_id", "ident_id")
 
 
-@query(f"WITH {_MATCH_SQL} SELECT obs_seq, entry_id, ident_id, platform, obs_platform FROM m WHERE confidence = 'probable'")
+@query(f"WITH {_MATCH_SQL} SELECT {_OBS}, entry_id, ident_id, platform, obs_platform FROM m WHERE confidence = 'probable'")
 def match_probable(spark, sf_dir):
-    return _matches(spark, sf_dir).where("confidence = 'probable'").select("obs_seq", "entry_id", "ident_id", "platform", "obs_platform")
+    return _matches(spark, sf_dir).where("confidence = 'probable'").select("phase", "obs_seq", "ident_pos", "entry_id", "ident_id", "platform", "obs_platform")
 
 
 @query(f"WITH {_MATCH_SQL} SELECT count(*) AS total, count(*) FILTER (WHERE confidence = 'exact') AS exact, count(*) FILTER (WHERE confidence <> 'exact') AS probable, count(DISTINCT entry_id) AS entries FROM m")
@@ -359,3 +360,19 @@ def match_summary(spark, sf_dir):
 @query(f"WITH {_MATCH_SQL}, g AS (SELECT confidence, entry_id, count(*) AS n_matches, min(obs_seq) AS first_obs FROM m GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY confidence ORDER BY entry_id)::INTEGER AS number FROM g")
 def report_groups(spark, sf_dir):
     return matching.by_entry(_matches(spark, sf_dir))
+
+
+@query(f"WITH {_MATCH_SQL} SELECT {_OBS}, m.entry_id, e.description, e.court FROM m JOIN e ON m.entry_id = e.id")
+def matched_entries(spark, sf_dir):
+    """Matches with the entries that they meet."""
+    entries, identifiers = i.reference(spark, sf_dir)
+    found = matching.match(observations.of_visits(i.traces(spark, sf_dir), "url"), entries, identifiers)
+    return found.join(entries.select(F.col("id").alias("entry_id"), "description", "court"), "entry_id").select("phase", "obs_seq", "ident_pos", "entry_id", "description", "court")
+
+
+@query(
+    f"""WITH {_MATCH_SQL} SELECT {_OBS}, entry_id, CASE WHEN confidence = 'exact' THEN 'same identifier' WHEN platform = obs_platform THEN 'same name, listed as ' || kind
+ELSE 'same name, listed on ' || platform END AS reason, CASE confidence WHEN 'exact' THEN 'точное совпадение' ELSE 'вероятное совпадение' END AS label FROM m"""
+)
+def match_reasons(spark, sf_dir):
+    return _matches(spark, sf_dir).select("phase", "obs_seq", "ident_pos", "entry_id", "reason", x.confidence_label(F.col("confidence")).alias("label"))

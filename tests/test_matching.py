@@ -44,12 +44,38 @@ def test_match_against_loop(spark):
     assert {(r.obs_seq, r.entry_id, r.ident_id, r.confidence) for r in found.collect()} == by_loop(obs, entries, idents)
     s = matching.summary(found).first()
     assert s.total == s.exact + s.probable and s.total == found.count()
-    assert "ТОЧНЫЕ" in report.render(found, frames[0], {"entry_count": "30"})
+    assert report.HEADINGS[t.EXACT] in report.render(found, frames[0], {"entry_count": "30"})
+
+
+def test_match_with_repeated_numbers(spark):
+    """Observations that share obs_seq match on their own: identifiers of one address, a page visited and saved, parts of a message."""
+    rng = random.Random(6)
+    pick = lambda: (rng.choice(["telegram", "tiktok"]), rng.choice(["handle", "video"]), rng.choice(["name_one", "name_two", "7777777"]))
+    entries = [(e, f"d{e}", f"c{e}", False) for e in range(1, 8)]
+    keys = sorted({(e, *pick()) for e in range(1, 8) for _ in range(4)})
+    idents = [(e, n, p, k, v, v) for n, (e, p, k, v) in enumerate(keys, 1)]
+    places = [(phase, seq, part, pos) for phase in (0, 1) for seq in range(3) for part in (0, 1) for pos in (0, 1)]
+    obs = [(*place, *pick(), "visit", "s", "r", None) for place in places]
+    frames = spark.createDataFrame(entries, ENTRY), spark.createDataFrame(idents, IDENT)
+    found = matching.match(spark.createDataFrame(obs, "phase int, obs_seq long, part int, ident_pos int, " + OBS.split(", ", 1)[1]), *frames).collect()
+    want = by_loop([(o[:4], *o[4:]) for o in obs], entries, idents)
+    assert len(found) == len(want) and {((r.phase, r.obs_seq, r.part, r.ident_pos), r.entry_id, r.ident_id, r.confidence) for r in found} == want
+
+
+def test_two_identifiers_of_one_address_and_a_page_seen_twice(spark):
+    entries = spark.createDataFrame([(1, "d", "c", False)], ENTRY)
+    idents = spark.createDataFrame([(1, 1, "tiktok", "handle", "foofoo", "r"), (1, 2, "tiktok", "video", "7777777", "r"), (1, 3, "web", "domain", "aa.example.org", "r")], IDENT)
+    history = spark.createDataFrame([(0, "https://tiktok.com/@foofoo/video/7777777", 2), (1, "https://aa.example.org/", 1)], "seq long, url string, visit_count long").withColumn("occurred_at", F.lit(None).cast("date"))
+    marks = spark.createDataFrame([(1, "https://aa.example.org/")], "seq long, url string")
+    found = matching.match(observations.browser_observations(history, marks, "B"), entries, idents)
+    assert sorted((r.phase, r.obs_seq, r.value) for r in found.collect()) == [(0, 0, "7777777"), (0, 0, "foofoo"), (0, 1, "aa.example.org"), (1, 1, "aa.example.org")]
+    text = report.render(found, entries)
+    assert text.count("  - ") == 4 and "4 exact and 0 probable matches with 1 entries" in text and "B: bookmarks" in text
 
 
 def test_report_of_nothing(spark):
     none = matching.match(spark.createDataFrame([], OBS), spark.createDataFrame([], ENTRY), spark.createDataFrame([], IDENT))
-    assert report.CAVEAT in report.render(none, spark.createDataFrame([], ENTRY))
+    assert report.SCOPE in report.render(none, spark.createDataFrame([], ENTRY))
 
 
 def test_visits_collapse(spark):
@@ -58,9 +84,9 @@ def test_visits_collapse(spark):
     marks = spark.createDataFrame([(0, "https://aa.example.org/m"), (1, "https://aa.example.org/n")], "seq long, url string")
     found = {(r.trace_type, r.value): (r.source, r.raw, str(r.occurred_at)) for r in observations.browser_observations(history, marks, "B").collect()}
     assert found == {
-        ("visit", "aa.example.org"): ("B, история — посещений: 51", "https://aa.example.org/", "2024-01-05"),
-        ("visit", "apps.apple.com"): ("B, история — посещений: 1", "bare apps.apple.com", "None"),
-        ("saved", "aa.example.org"): ("B, закладки", "https://aa.example.org/m", "None"),
+        ("visit", "aa.example.org"): ("B: history, visits 51", "https://aa.example.org/", "2024-01-05"),
+        ("visit", "apps.apple.com"): ("B: history, visits 1", "bare apps.apple.com", "None"),
+        ("saved", "aa.example.org"): ("B: bookmarks", "https://aa.example.org/m", "None"),
     }
 
 
