@@ -2,9 +2,9 @@
 
 One equi-join on the value serves both tiers. A pair is exact if platform and kind agree too; else it is
 probable, unless the kinds are bound to their platform or the value is short. Of the identifiers of one entry
-that an observation meets, the exact one stands, else the first. An observation is told apart by its whole key: phase,
-number, part and place where it has them, what it shows, and how and where that was seen. So the two identifiers of one
-address, or a page both visited and saved, match on their own; rows that agree in all of these are one observation.
+that an observation meets, the exact one stands, else the first. The list is grouped by value and entry before the
+join, so that this choice is made inside a row: each observation matches on its own, whatever numbers it shares with
+others, nothing is shuffled after the join, and streams match as tables do.
 
 The reference list is broadcast while its size is checked to be small; beyond that the planner joins by
 shuffle. Either way the one-sided parts of the probable rule are tested before the join.
@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions import tables as t
 
-#: Where an observation stands, and all that tells it from others.
+#: Where an observation stands.
 PLACE = ("phase", "obs_seq", "part", "ident_pos")
-KEY = (*PLACE, "platform", "kind", "value", "trace_type", "source")
 #: Bytes of identifiers that may be broadcast, and their number where bytes are not known before they are made.
 BROADCAST_BYTES, BROADCAST_ROWS = 64 << 20, 200_000
 
@@ -31,17 +30,17 @@ def _sized(index: DataFrame) -> DataFrame:
 
 
 def match(observations: DataFrame, entries: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Observations against the list: a row for each observation and entry that it meets."""
-    own = [c for c in KEY if c in observations.columns]
+    """Observations, of a table or a stream, against the list: a row for each observation and entry that it meets."""
     live = identifiers.join(entries.where("not is_cancelled").select(F.col("id").alias("entry_id")), "entry_id", "left_semi")
-    index = live.select("entry_id", "ident_id", F.col("platform").alias("list_platform"), F.col("kind").alias("list_kind"), "value", F.col("raw").alias("registry_raw"))
     shareable = lambda kind: ~F.col(kind).isin(*t.BOUND_KINDS)
+    listed = F.struct("ident_id", "platform", "kind", "raw", shareable("kind").alias("shared"))
+    index = live.groupBy("value", "entry_id").agg(F.sort_array(F.collect_list(listed)).alias("_listed"))
     seen = observations.where("value <> ''").withColumn("_shares", shareable("kind") & (F.length("value") >= t.MIN_SHARED_LENGTH))
-    index = index.withColumn("_shared", shareable("list_kind"))
-    pairs = seen.join(_sized(index), "value").withColumn("_exact", (F.col("platform") == F.col("list_platform")) & (F.col("kind") == F.col("list_kind")))
-    pairs = pairs.where("_exact or (_shares and _shared)")
-    place = F.row_number().over(Window.partitionBy(*own, "entry_id").orderBy(F.desc("_exact"), "ident_id"))
-    best = pairs.withColumn("_place", place).where("_place = 1")
+    pairs = seen.join(_sized(index), "value")
+    same = F.filter("_listed", lambda i: (i["platform"] == F.col("platform")) & (i["kind"] == F.col("kind")))
+    other = F.filter("_listed", lambda i: F.col("_shares") & i["shared"])
+    pairs = pairs.withColumn("_same", F.get(same, F.lit(0))).withColumn("_pick", F.coalesce("_same", F.get(other, F.lit(0)))).where("_pick is not null")
+    best = pairs.select("*", F.col("_same").isNotNull().alias("_exact"), F.col("_pick.ident_id").alias("ident_id"), F.col("_pick.platform").alias("list_platform"), F.col("_pick.kind").alias("list_kind"), F.col("_pick.raw").alias("registry_raw"))
     reason = (
         F.when(F.col("_exact"), F.lit("same identifier"))
         .when(F.col("platform") == F.col("list_platform"), F.concat(F.lit("same name, listed as "), F.col("list_kind")))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 
 CHROMIUM, FIREFOX = "chromium", "firefox"
-_HISTORY = {
+HISTORY = {
     CHROMIUM: "SELECT url, last_visit_time, visit_count FROM urls",
     FIREFOX: "SELECT url, last_visit_date, visit_count FROM moz_places WHERE url IS NOT NULL",
 }
@@ -67,7 +67,12 @@ def _rows(spark: SparkSession, path: str, schema: str, fields: list[tuple[str, p
 
 def read_history(spark: SparkSession, path: str, engine: str) -> DataFrame:
     """(seq, url, occurred_at, visit_count); a count of zero or NULL stands for one visit."""
-    raw = _rows(spark, path, "seq long, url string, micros long, n long", [("seq", pa.int64()), ("url", pa.string()), ("micros", pa.int64()), ("n", pa.int64())], lambda p: query(p, _HISTORY[engine]))
+    raw = _rows(spark, path, "seq long, url string, micros long, n long", [("seq", pa.int64()), ("url", pa.string()), ("micros", pa.int64()), ("n", pa.int64())], lambda p: query(p, HISTORY[engine]))
+    return history_of(raw, engine)
+
+
+def history_of(raw: DataFrame, engine: str) -> DataFrame:
+    """(seq, url, micros, n) as a browser keeps them to (seq, url, occurred_at, visit_count)."""
     date = x.date_of_1601 if engine == CHROMIUM else x.date_of_1970
     count = F.when(F.coalesce("n", F.lit(0)) == 0, 1).otherwise(F.col("n"))
     return raw.select("seq", "url", date(F.col("micros")).alias("occurred_at"), count.alias("visit_count"))
@@ -88,11 +93,18 @@ def bookmark_urls(node) -> Iterator[str]:
             todo.extend(reversed(list(node)))
 
 
+def tree_urls(text: str) -> list[str]:
+    """Addresses of a file of bookmarks; none if it is broken."""
+    try:
+        return list(bookmark_urls(json.loads(text).get("roots", {})))
+    except (ValueError, AttributeError):
+        return []
+
+
 def _tree(path: str) -> list[tuple[str]]:
     try:
-        data = json.loads(Path(path).read_text(encoding="utf-8"))
-        return [(u,) for u in bookmark_urls(data.get("roots", {}))]
-    except (OSError, ValueError, AttributeError):
+        return [(u,) for u in tree_urls(Path(path).read_text(encoding="utf-8"))]
+    except (OSError, ValueError):
         return []
 
 

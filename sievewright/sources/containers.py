@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -103,8 +104,9 @@ def docx_rows(content: bytes) -> list[list[str]]:
             links = {}
             if "word/_rels/document.xml.rels" in names:
                 links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))}
-    except (zipfile.BadZipFile, ElementTree.ParseError) as e:
-        raise Unreadable(f"broken .docx: {e}") from e
+    # a damaged or encrypted member shows only when it is read
+    except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, EOFError, KeyError, NotImplementedError, RuntimeError, ValueError) as e:
+        raise e if isinstance(e, Unreadable) else Unreadable(f"broken .docx: {e}") from e
 
     def text(cell: ElementTree.Element) -> Iterator[str]:
         for node in cell.iter():
@@ -122,6 +124,8 @@ def docx_rows(content: bytes) -> list[list[str]]:
 # --- .doc: compound file ---------------------------------------------------------------------------
 MAGIC = bytes.fromhex("D0CF11E0A1B11AE1")
 _LAST_SECTOR = 0xFFFFFFFA
+#: fixed values: bytes from 0x82 to 0x9F that stand for their code points
+UNUSED = bytes.fromhex("8D8E8F909D9E")
 
 
 def _u32(data: bytes, at: int, n: int = 1) -> tuple[int, ...]:
@@ -186,14 +190,9 @@ def compound_streams(data: bytes) -> dict[str, bytes]:
     return {name: content(first, size) for name, first, size in found}
 
 
-# fixed values: characters of one-byte text that are not their code point
-ONE_BYTE = dict(
-    zip(
-        bytes.fromhex("8283848586878889 8A8B8C9192939495 969798999A9B9C9F"),
-        "‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œŸ",
-        strict=True,
-    )
-)
+def one_byte(piece: bytes) -> str:
+    """Text of a one-byte piece: code points, but 0x82 to 0x9F in code page 1252, less the few that it has and Word has not."""
+    return "".join(chr(b) if b < 0x82 or b > 0x9F or b in UNUSED else bytes([b]).decode("cp1252") for b in piece)
 
 
 def doc_text(data: bytes) -> str:
@@ -221,7 +220,7 @@ def doc_text(data: bytes) -> str:
         start, count = _u32(pieces, 4 * (n + 1) + 8 * i + 2)[0], ends[i + 1] - ends[i]
         if start & 0x40000000:
             start = (start ^ 0x40000000) // 2
-            out.append("".join(ONE_BYTE.get(b, chr(b)) for b in main[start : start + count]))
+            out.append(one_byte(main[start : start + count]))
         else:
             out.append(main[start : start + 2 * count].decode("utf-16-le", "replace"))
     length = _u32(main, 0x4C)[0]

@@ -3,22 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions import tables as t
+from ..operators.matching import match
 from ..operators.observations import of_visits
 
 
-def match_stream(visits: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """A stream (obs_seq, url, occurred_at) joined with the list: exact and probable pairs, marked.
-
-    Stateless: of several identifiers of one entry all are emitted, as choosing one needs the whole input.
-    """
-    seen = of_visits(visits, "url")
-    index = identifiers.select("entry_id", "ident_id", F.col("platform").alias("list_platform"), F.col("kind").alias("list_kind"), "value")
-    exact = (F.col("platform") == F.col("list_platform")) & (F.col("kind") == F.col("list_kind"))
-    probable = ~F.col("kind").isin(*t.BOUND_KINDS) & ~F.col("list_kind").isin(*t.BOUND_KINDS) & (F.length("value") >= t.MIN_SHARED_LENGTH)
-    return seen.join(index, "value").withColumn("confidence", F.when(exact, F.lit(t.EXACT)).when(probable, F.lit(t.PROBABLE))).where("confidence is not null")
+def match_stream(visits: DataFrame, entries: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """A stream (obs_seq, url and what else an observation has) joined with the list; stateless, with the results of
+    ``matching.match`` on the same rows as a table."""
+    return match(of_visits(visits, "url"), entries, identifiers)
 
 
 def first_seen(observations: DataFrame, time: str, delay: str = "1 day") -> DataFrame:

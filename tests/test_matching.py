@@ -95,10 +95,26 @@ def test_no_column_names_a_person(spark):
 
 
 def test_stream(spark, tmp_path):
-    visits = spark.createDataFrame([(1, "https://t.me/name_one"), (2, "https://tiktok.com/@name_one"), (3, "https://example.org/")], "obs_seq long, url string")
-    visits.write.parquet(str(tmp_path / "in"))
-    index = spark.createDataFrame([(1, 1, "telegram", "handle", "name_one", "r")], IDENT)
-    stream = live.match_stream(spark.readStream.schema(visits.schema).parquet(str(tmp_path / "in")), index)
+    """A stream gives what the same rows give as a table, the choice of one identifier an entry included."""
+    rows = [(1, "https://t.me/name_one"), (2, "https://tiktok.com/@name_one"), (3, "https://example.org/"), (4, "https://vk.com/name_one"), (4, "https://vk.com/name_one")]
+    visits = spark.createDataFrame(rows, "obs_seq long, url string")
+    visits.repartition(3).write.parquet(str(tmp_path / "in"))
+    entries = spark.createDataFrame([(1, "d", "c", False), (2, "d", "c", True)], ENTRY)
+    index = spark.createDataFrame([(1, 1, "telegram", "handle", "name_one", "r"), (1, 2, "vk", "handle", "name_one", "r"), (2, 3, "vk", "handle", "name_one", "r")], IDENT)
+    stream = live.match_stream(spark.readStream.schema(visits.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), entries, index)
     q = stream.writeStream.format("memory").queryName("live_matches").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
-    assert {(r.obs_seq, r.confidence) for r in spark.table("live_matches").collect()} == {(1, "exact"), (2, "probable")}
+    found = sorted((r.obs_seq, r.entry_id, r.ident_id, r.confidence) for r in spark.table("live_matches").collect())
+    assert found == [(1, 1, 1, "exact"), (2, 1, 1, "probable"), (4, 1, 2, "exact"), (4, 1, 2, "exact")]
+    table = matching.match(observations.of_visits(visits, "url"), entries, index)
+    assert found == sorted((r.obs_seq, r.entry_id, r.ident_id, r.confidence) for r in table.collect())
+
+
+def test_first_seen_in_a_stream(spark, tmp_path):
+    rows = [(1, "a", "2024-01-01 10:00:00"), (2, "a", "2024-01-01 11:00:00"), (3, "b", "2024-01-01 12:00:00")]
+    seen = spark.createDataFrame(rows, "obs_seq long, value string, at string").selectExpr("obs_seq", "'web' platform", "'domain' kind", "value", "cast(at as timestamp) at")
+    seen.coalesce(1).write.parquet(str(tmp_path / "in"))
+    first = live.first_seen(spark.readStream.schema(seen.schema).parquet(str(tmp_path / "in")), "at")
+    q = first.writeStream.format("memory").queryName("live_first").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    assert sorted(r.value for r in spark.table("live_first").collect()) == ["a", "b"]

@@ -80,6 +80,36 @@ def test_broken_doc(content):
         containers.doc_rows(content)
 
 
+@pytest.mark.parametrize("damage", ["cut", "flip", "encrypted", "no document"])
+def test_broken_docx(damage):
+    content = bytearray(docx([["k" * 5000, "d", "c"]], "u"))
+    if damage == "cut":
+        content = content[: len(content) // 2]
+    elif damage == "flip":
+        content = bytearray(zip_of(zipfile.ZIP_DEFLATED))
+        at = content.index(b"document.xml") + 40
+        content[at : at + 60] = bytes(60)
+    elif damage == "encrypted":
+        for mark in (b"PK\x03\x04", b"PK\x01\x02"):
+            at = content.index(mark)
+            content[at + (6 if mark[2] == 3 else 8)] |= 1
+    else:
+        content = content.replace(b"document.xml", b"document.txt")
+    with pytest.raises(containers.Unreadable):
+        containers.docx_rows(bytes(content))
+
+
+def zip_of(method):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        z.writestr("word/document.xml", "<w>" + "abc" * 3000 + "</w>")
+    return out.getvalue()
+
+
+def test_one_byte_text():
+    assert containers.one_byte(bytes([0x41, 0x85, 0x96, 0x9F, 0x8D, 0x8E, 0x9E, 0xE9, 0x80])) == "A…–Ÿ\x8d\x8e\x9eé\x80"
+
+
 def test_read_list_of_all_formats(spark, tmp_path):
     page = "<table><tr><th>Вид</th></tr><tr><td>k<p>x</p></td><td><a href='https://t.me/one'>one</a>&amp;</td><td>c</td></tr><tr></tr></table>"
     (tmp_path / "a.html").write_text(page, encoding="cp1251")
