@@ -108,14 +108,21 @@ SHARE = 1000
 
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of pages, and addresses composed from parts, both visited and saved, that partly meet the list."""
-    pages = table(spark, sf_dir, "pages").select(F.lit(0).alias("phase"), F.col("page_id").alias("obs_seq"), "url")
+    pages = table(spark, sf_dir, "pages").select(F.lit(0).alias("phase"), F.col("page_id").cast("long").alias("obs_seq"), "url")
+    return _seen(pages).unionByName(trace_parts(table(spark, sf_dir, "part")))
+
+
+def trace_parts(part: DataFrame) -> DataFrame:
+    """The addresses of parts, of a table or a stream."""
     k = F.floor(F.col("p_partkey") / len(TRACES)) % SHARE + 1
     h = F.concat(F.lit("supplier_"), F.lpad(k.cast("string"), 9, "0"))
     address = by_case(F.col("p_partkey"), [filled(c, h=h, k=k) for c in TRACES])
-    parts = table(spark, sf_dir, "part").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("phase"), (F.col("p_partkey") + 1_000_000_000).alias("obs_seq"), address.alias("url"))
-    both = pages.select("phase", F.col("obs_seq").cast("long").alias("obs_seq"), "url").unionByName(parts)
+    return _seen(part.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("phase"), (F.col("p_partkey") + 1_000_000_000).cast("long").alias("obs_seq"), address.alias("url")))
+
+
+def _seen(rows: DataFrame) -> DataFrame:
     how = lambda visited, saved: F.when(F.col("phase") == 0, F.lit(visited)).otherwise(F.lit(saved))
-    return both.withColumns({"trace_type": how("visit", "saved"), "source": how("history", "bookmarks"), "occurred_at": F.lit(None).cast("date")})
+    return rows.withColumns({"trace_type": how("visit", "saved"), "source": how("history", "bookmarks"), "occurred_at": F.lit(None).cast("date")})
 
 
 def _traces_sql() -> str:
@@ -129,4 +136,7 @@ def _traces_sql() -> str:
 
 
 PAGE_HOST_SQL = r"regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '^(www\.|m\.)', '')"
+
+_TRACE_NAMES = {"h": f"'supplier_' || lpad((p_partkey // {len(TRACES)} % {SHARE} + 1)::VARCHAR, 9, '0')", "k": f"p_partkey // {len(TRACES)} % {SHARE} + 1"}
+TRACE_URLS_SQL = " UNION ALL ".join(["SELECT page_id AS obs_seq, url FROM pages", *[f"SELECT p_partkey + 1000000000, {filled_sql(u, **_TRACE_NAMES)} FROM part WHERE p_partkey % {len(TRACES)} = {n}" for n, u in enumerate(TRACES)]])
 TRACES_CTE = f"o AS ({_traces_sql()})"
