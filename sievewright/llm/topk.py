@@ -33,8 +33,10 @@ K = 5
 SCALE = 256
 #: Rows of a block of vectors and of a block of queries.
 VECTORS, QUERIES = 8192, 8192
-#: Steps that the lists are read in.
-STEPS = 32
+#: Shares of the lists that the steps of reading end at.
+STEPS = (1 / 64, 1 / 16, 1 / 4, 3 / 4, 15 / 16, 1)
+#: Queries that are read together.
+AT_ONCE = 128
 _LIMIT = 2**63
 
 
@@ -49,54 +51,72 @@ def quantise(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id") -
 
 
 class Block:
-    """Vectors with their sorted lists. ``reads`` counts the entries read from lists, ``entries`` those there were."""
+    """Vectors with their sorted lists. ``reads`` counts the entries that queries read from lists, ``entries`` those there were."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        up = np.argsort(self.x, axis=0, kind="stable").astype(np.int32)
-        # rows are depths, columns are lists: row p holds the entry that is read p-th, from below and from above
-        self.order = (up, np.ascontiguousarray(up[::-1]))
-        self.value = tuple(np.take_along_axis(self.x, o, axis=0) for o in self.order)
-        self.rank = np.empty_like(up)
-        np.put_along_axis(self.rank, up, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        by_value = np.argsort(self.x, axis=0, kind="stable")
+        #: a row is a list, from its low end on
+        self.values = np.take_along_axis(self.x, by_value, axis=0).T
+        #: places of each vector's components in the lists, from the low ends and from the high ends
+        self.from_low = np.empty(by_value.shape, np.int32)
+        np.put_along_axis(self.from_low, by_value, np.arange(len(ids), dtype=np.int32)[:, None], axis=0)
+        self.from_high = len(ids) - 1 - self.from_low
         self.reads = self.entries = 0
 
-    def search(self, query: np.ndarray, query_id: int, k: int) -> tuple[list[int], list[int]]:
-        """(vec_id, score) of the best k of this block, rows of the query's own id left out."""
-        own = self.ids == query_id
-        lists = np.flatnonzero(query)  # a list of zeros says nothing
-        q, above = query[lists], query[lists] > 0
-        n, rest = len(self.ids), int((~own).sum())
-        if not rest:
-            return [], []
-        pick = lambda pair, a, b: np.where(above, pair[1][a:b, lists], pair[0][a:b, lists])
-        worst = pick(self.value, n - 1, n)[0] * q
-        biggest = max(float(np.abs(self.x).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, self.x.shape[1]), 0.0)
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[list[int], list[int]]]:
+        """(vec_ids, scores) of the best k of this block for each query, rows of its own id left out.
+
+        Each list is read from above for queries with a positive component and from below for those with a negative one.
+        The entries of a step are laid out by vector, so that one product adds them to the bounds of all queries.
+        """
+        n, d = self.x.shape
+        out: list[tuple[list[int], list[int]]] = [([], [])] * len(queries)
+        biggest = float(np.abs(self.x).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, d)
         exact = biggest < 2**53
         slack = 0.0 if exact else biggest * 2.0**-40
-        lower = np.full(n, worst.sum())
-        lower[own] = -np.inf
-        place = max(0, n - min(k, rest))
-        depth, step = 0, max(1, -(-n // STEPS))
-        left = np.flatnonzero(~own)
-        self.entries += n * len(lists)
-        while depth < n and len(lists):
-            upto = min(n, depth + step)
-            scores = pick(self.value, depth, upto) * q
-            lower += np.bincount(pick(self.order, depth, upto).ravel(), weights=(scores - worst).ravel(), minlength=n)
-            depth, last = upto, scores[-1]
-            self.reads += scores.size
-            kth = np.partition(lower, place)[place]
-            if last.sum() >= kth - slack and depth < n:
+        self.entries += n * int(np.count_nonzero(queries))
+        at = np.arange(len(queries))
+        own = self.ids[:, None] == query_ids[None, :]
+        up, down = np.maximum(queries, 0).T, np.minimum(queries, 0).T  # lists by queries
+        least, most = self.values[:, :1], self.values[:, -1:]
+        worst_up, worst_down = least * up, most * down
+        lower = np.tile((worst_up + worst_down).sum(axis=0), (n, 1))
+        depth = 0
+        for part in STEPS:
+            upto = max(min(n, depth + 1), int(n * part))
+            if not len(at):
+                break
+            new_up, new_down = ((f >= depth) & (f < upto) for f in (self.from_high, self.from_low))
+            rows = np.flatnonzero((new_up | new_down).any(axis=1))
+            read = np.concatenate([self.x[rows] * new_up[rows], self.x[rows] * new_down[rows], new_up[rows], new_down[rows]], axis=1)
+            lower[rows] += read @ np.concatenate([up, down, -worst_up, -worst_down])
+            self.reads += (upto - depth) * int(np.count_nonzero(queries[at]))
+            depth = upto
+            last_up, last_down = self.values[:, n - depth, None] * up, self.values[:, depth - 1, None] * down
+            seen = np.where(own, -np.inf, lower)
+            place = np.maximum(0, n - np.minimum(k, n - own.sum(axis=0)))
+            ranked = np.partition(seen, np.unique(np.minimum(place, n - 1)), axis=0)
+            kth = ranked[np.minimum(place, n - 1), np.arange(len(at))]
+            # as long as a vector that has shown up nowhere could qualify, no other bounds need a look
+            ready = np.flatnonzero(((last_up + last_down).sum(axis=0) < kth - slack) | (depth == n))
+            if not len(ready):
                 continue
             # what lists in which a vector has not shown up may still give, beyond the worst
-            at = self.rank[np.ix_(left, lists)]
-            hidden = np.where(above, n - 1 - at, at) >= depth
-            left = left[lower[left] + hidden @ (last - worst) >= kth - slack]
-            if len(left) <= k:
-                break
-        return self._resolve(left, query, k, exact)
+            hidden = np.concatenate([self.from_high >= depth, self.from_low >= depth], axis=1).astype(float)
+            upper = lower[:, ready] + hidden @ np.concatenate([last_up - worst_up, last_down - worst_down])[:, ready]
+            alive = (upper >= kth[ready] - slack) & ~own[:, ready]
+            done = np.zeros(len(at), bool)
+            for c, i in enumerate(ready.tolist()):
+                if depth == n or np.count_nonzero(alive[:, c]) <= k:
+                    done[i] = True
+                    out[at[i]] = self._resolve(np.flatnonzero(alive[:, c]), queries[at[i]], k, exact)
+            if done.any():
+                rest = ~done
+                at, own, lower = at[rest], own[:, rest], np.ascontiguousarray(lower[:, rest])
+                up, down, worst_up, worst_down = up[:, rest], down[:, rest], worst_up[:, rest], worst_down[:, rest]
+        return out
 
     def _resolve(self, left: np.ndarray, query: np.ndarray, k: int, exact: bool) -> tuple[list[int], list[int]]:
         """Final scores of those that may be among the best; more than k are left only by ties and by rounding."""
@@ -143,14 +163,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = VECTO
         got: tuple[list, list, list] = ([], [], [])
         if a.num_rows and b.num_rows:
             width = max(int(pc.max(pc.list_value_length(t["v"])).as_py() or 0) for t in (a, b))
-            asked, who = _matrix(b["v"], width), b["query_id"].to_pylist()
+            asked, who = _matrix(b["v"], width), b["query_id"].to_numpy()
             ids, x = a["vec_id"].to_numpy(), _matrix(a["v"], width)
             # equal rows fall into one block, which is worked through in parts of bounded size
             for start in range(0, len(ids), 2 * block):
                 part = Block(ids[start : start + 2 * block], x[start : start + 2 * block])
-                for i, q in enumerate(who):
-                    found, scores = part.search(asked[i], q, k)
-                    got[0].extend([q] * len(found)), got[1].extend(found), got[2].extend(scores)
+                for i in range(0, len(who), AT_ONCE):
+                    for q, (found, scores) in zip(who[i : i + AT_ONCE].tolist(), part.search(asked[i : i + AT_ONCE], who[i : i + AT_ONCE], k), strict=True):
+                        got[0].extend([q] * len(found)), got[1].extend(found), got[2].extend(scores)
         return pa.table([pa.array(x, pa.int64()) for x in got], names=["query_id", "vec_id", "score"])
 
     parts = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(search, "query_id long, vec_id long, score long")

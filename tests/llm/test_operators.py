@@ -74,7 +74,7 @@ def test_reading_stops_by_the_bounds_alone():
             q = np.abs(x[i]) if share < 1 else x[i]
             s = x @ q
             want = sorted((-int(v), j) for j, v in enumerate(s) if j != i)[:5]
-            ids, scores = block.search(q, i, 5)
+            ((ids, scores),) = block.search(q[None, :], np.array([i]), 5)
             assert [(-v, j) for j, v in zip(ids, scores, strict=True)] == want
         assert block.reads <= share * block.entries and block.reads > 0
 
