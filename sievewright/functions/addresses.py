@@ -18,7 +18,7 @@ from . import text as x
 
 IDENTIFIER = "array<struct<platform:string,kind:string,value:string,raw:string,notes:array<string>>>"
 _PAIRS = "array<struct<kind:string,value:string,note:string>>"
-_TEMP = ("_raw", "_found", "_address", "_netloc", "_path", "_query", "_host", "_platform", "_segments", "_notes", "_pairs")
+_TEMP = ("_raw", "_found", "_address", "_netloc", "_path", "_query", "_host", "_platform", "_segments", "_odd", "_notes", "_pairs")
 
 
 def _pair(kind: str, value: Column, note: Column | None = None) -> Column:
@@ -204,8 +204,13 @@ def _steps(gateway: int) -> tuple[dict[str, Column], ...]:
         {"_address": F.when(c("_address") != "", full)},
         {f"_{n}": F.regexp_extract(c("_address"), form, i) for i, n in enumerate(("netloc", "path", "query"), 1)},
         {"_netloc": F.when(~c("_netloc").rlike(odd), F.substring_index(F.substring_index(c("_netloc"), "@", 1), ":", 1))},
-        {"_host": F.when(c("_netloc") != "", x.normalize_host(c("_netloc"))), "_segments": F.transform(split, cut_segment)},
-        {"_platform": x.looked_up(c("_host"), t.PLATFORM_OF_HOST), "_notes": F.concat(x.host_notes(c("_netloc")), path_notes), "_segments": F.transform(c("_segments"), x.fix_segment)},
+        {"_host": F.when(c("_netloc") != "", x.normalize_host(c("_netloc"))), "_odd": x.is_odd(c("_path")), "_segments": split},
+        {"_segments": F.when(c("_odd"), F.transform(c("_segments"), cut_segment)).otherwise(c("_segments"))},
+        {
+            "_platform": x.looked_up(c("_host"), t.PLATFORM_OF_HOST),
+            "_notes": F.concat(x.host_notes(c("_netloc"), c("_host")), F.when(c("_odd"), path_notes).otherwise(F.array().cast("array<string>"))),
+            "_segments": F.when(c("_odd"), F.transform(c("_segments"), x.fix_segment)).otherwise(c("_segments")),
+        },
         {"_pairs": F.when(c("_host").isNotNull(), _pairs_of(c("_platform"), c("_host"), c("_segments"), c("_query"))).otherwise(_none())},
         {"_found": found},
     )

@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 from . import tables as t
 
 SPACE = r"[\s\u001c-\u001f]"
+#: The same as characters.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: What is not a printing ASCII character; most addresses have none and skip what looks for blanks and scripts.
+_ODD = r"[^\x21-\x7e]"
 
 
 def translate(c: Column, table: Mapping[str, str]) -> Column:
@@ -43,7 +47,7 @@ def any_of(letters: str) -> str:
 
 def strip(c: Column) -> Column:
     """Without Unicode blanks at both ends."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 # --- HTML character references -------------------------------------------------------------------
@@ -94,8 +98,8 @@ def decode_entities(c: Column) -> Column:
 def clean_address(raw: Column) -> Column:
     """An address without what running text puts around and into it."""
     x = decode_entities(strip(raw))
-    x = F.translate(x, t.INVISIBLE, "")
-    x = F.split(x, rf"(?U)(?:&nbsp;|\u00a0|{SPACE})+")[0]
+    first = F.split(F.translate(x, t.INVISIBLE, ""), rf"(?U)(?:&nbsp;|\u00a0|{SPACE})+")[0]
+    x = F.when(x.rlike(f"{_ODD}|&nbsp;"), first).otherwise(x)
     x = F.substring_index(F.substring_index(x, ";", 1), ",", 1)
     return F.trim(x, F.lit(t.EDGE_JUNK))
 
@@ -174,8 +178,16 @@ def host_base(c: Column) -> Column:
     return host_to_latin(F.lower(F.trim(strip(c), F.lit("."))))
 
 
-def host_notes(c: Column) -> Column:
-    """What ``normalize_host`` repaired: host:lookalikes, host:synonym."""
+def is_odd(c: Column) -> Column:
+    """Whether a path has escapes, or characters other than printing ASCII."""
+    return c.rlike(f"{_ODD}|%")
+
+
+def host_notes(c: Column, host: Column | None = None) -> Column:
+    """What ``normalize_host`` repaired: host:lookalikes, host:synonym. ``host`` is its result where it is known: a host
+    that is no synonym's meaning and was typed in ASCII has none."""
+    if host is not None:
+        return F.when(c.rlike(_ODD) | host.isin(*set(t.HOST_SYNONYMS.values())), host_notes(c)).otherwise(F.array().cast("array<string>"))
     lowered = F.lower(F.trim(strip(c), F.lit(".")))
     base = host_base(c)
     undone = F.regexp_replace(base, "^(?:" + "|".join(p.replace(".", r"\.") for p in t.SERVICE_PREFIXES) + ")+(?=[^.]+\\.)", "")

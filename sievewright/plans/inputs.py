@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import reference_list
+from ..session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,9 +78,9 @@ def list_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Entries and identifiers of the composed list."""
-    entries = reference_list.entries_of(list_cells(spark, sf_dir))
-    return entries, reference_list.identifiers_of(entries)
+    """Entries and identifiers of the composed list, made once and written, as a list is before it is matched."""
+    entries = cut_lineage(reference_list.entries_of(list_cells(spark, sf_dir)))
+    return entries, cut_lineage(reference_list.identifiers_of(entries))
 
 
 def _identifiers_sql() -> str:

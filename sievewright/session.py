@@ -1,10 +1,10 @@
-"""Session helper for local runs and tests; on a cluster the caller brings its own session."""
+"""Session helper for local runs and tests, and checkpoints; on a cluster the caller brings its own session."""
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str | None = None, **conf: str) -> SparkSession:
@@ -28,3 +28,20 @@ def local_session(cores: int | str | None = None, **conf: str) -> SparkSession:
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df``, computed and kept in the shared checkpoint folder that the cluster names in spark.checkpoint.dir.
+
+    Where neither that nor the context names one, a folder of a local session's warehouse is taken; on a cluster
+    that is an error, as executors would not see it. Spark's cleaner removes the files of checkpoints that are
+    out of use if spark.cleaner.referenceTracking.cleanCheckpoints is set, as ``local_session`` does.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return df.checkpoint(eager=True)
