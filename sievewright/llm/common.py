@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage  # noqa: F401  (the operators take it from here)
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one Python step works on at once.
 CHUNK_BYTES = 4 << 20
@@ -28,23 +30,6 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, "2000")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoints in the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where neither that nor the context names one, a folder of a local session's warehouse is taken; on a cluster
-    that is an error, as executors would not see it. Spark's cleaner removes the files of checkpoints that are
-    out of use if spark.cleaner.referenceTracking.cleanCheckpoints is set, as ``local_session`` does.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
     """``docs`` under column names that no working column bears, the new names by the old ones, and the way back,
     which gives the columns of ``docs`` in their order."""
