@@ -52,7 +52,7 @@ DESCRIPTIONS = [
     "Канал https://t.me/{H} и страница https://vk.com/{H}.",
     "Аккаунт https://www.instagram.com/{H}/; сайт site-{k}.info, далее",
     "Чат, последовательность цифр 77{k}",
-    "Профиль @{h} и https://ok.ru/group/5353{k}б99605",
+    "Профиль @{h} и https://ok.ru/group/4471{k}б31207",
     "Материал без адреса",
     "Ролик https://www.tiktok.com/@{H}/video/88{k}; зеркало {h}.info",
 ]
@@ -61,7 +61,7 @@ EXPECTED = [
     [("telegram", "handle", "{h}"), ("vk", "handle", "{h}")],
     [("instagram", "handle", "{h}"), ("web", "domain", "site-{k}.info")],
     [("telegram", "numeric_id", "77{k}")],
-    [("ok", "numeric_id", "5353{k}699605"), ("ok", "numeric_id", "5353{k}99605"), ("telegram", "handle", "{h}")],
+    [("ok", "numeric_id", "4471{k}631207"), ("ok", "numeric_id", "4471{k}31207"), ("telegram", "handle", "{h}")],
     [],
     [("tiktok", "handle", "{h}"), ("tiktok", "video", "88{k}")],
 ]

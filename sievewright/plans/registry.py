@@ -115,8 +115,8 @@ ADDRESSES: dict[str, list[tuple[str, list[tuple[str, str]]]]] = {
         ("https://m.youtube.com/watch?a=1&v={H}", [("video", "{H}")]), ("https://youtube.com/shorts/{H}", [("video", "{H}")]), ("https://youtube.com/playlist?list={k}", []),
     ],
     "ok": [
-        ("https://ok.ru/{H}", [("handle", "{h}")]), ("https://ok.ru/group/5353{k}", [("numeric_id", "5353{k}")]), ("ok.ru/profile5353{k}", [("numeric_id", "5353{k}")]),
-        ("https://ok.ru/dk?st.cmd=x&st.groupId={k}", [("numeric_id", "{k}")]), ("https://ok.ru/group/5353{k}б0001", [("numeric_id", "5353{k}60001"), ("numeric_id", "5353{k}0001")]), ("https://odnoklassniki.ru/video", []),
+        ("https://ok.ru/{H}", [("handle", "{h}")]), ("https://ok.ru/group/4471{k}", [("numeric_id", "4471{k}")]), ("ok.ru/profile4471{k}", [("numeric_id", "4471{k}")]),
+        ("https://ok.ru/dk?st.cmd=x&st.groupId={k}", [("numeric_id", "{k}")]), ("https://ok.ru/group/4471{k}б0001", [("numeric_id", "4471{k}60001"), ("numeric_id", "4471{k}0001")]), ("https://odnoklassniki.ru/video", []),
     ],
     "x": [("https://twitter.com/{H}/status/{k}", [("handle", "{h}")]), ("https://x.com/@{H}", [("handle", "{h}")]), ("https://x.com/hashtag/{H}", [])],
     "linkedin": [("https://www.linkedin.com/in/{H}", [("handle", "in")]), ("linkedin.com/@{H}", [("handle", "{h}")])],
@@ -360,7 +360,7 @@ def list_identifiers(spark, sf_dir):
 
 
 @query(
-    f"""WITH {i.REFERENCE_SQL}, n AS (SELECT entry_id, count(*) AS n, count(*) FILTER (WHERE value LIKE '5353%') AS repaired FROM i GROUP BY 1)
+    f"""WITH {i.REFERENCE_SQL}, n AS (SELECT entry_id, count(*) AS n, count(*) FILTER (WHERE value LIKE '4471%') AS repaired FROM i GROUP BY 1)
 SELECT count(*) AS entries, count(*) FILTER (WHERE is_cancelled) AS cancelled, count(*) FILTER (WHERE is_offline) AS offline,
        count(*) FILTER (WHERE NOT is_cancelled AND NOT is_offline AND n IS NULL) AS without_identifiers,
        coalesce(sum(n), 0)::BIGINT AS identifiers, coalesce(sum(repaired), 0)::BIGINT AS repaired FROM e LEFT JOIN n ON e.id = n.entry_id"""
@@ -417,7 +417,7 @@ def snapshot_summary(spark, sf_dir):
 
 
 @query(
-    f"""WITH {i.REFERENCE_SQL}, n AS (SELECT entry_id, count(*) AS n, count(*) FILTER (WHERE value LIKE '5353%') AS repaired FROM i GROUP BY 1),
+    f"""WITH {i.REFERENCE_SQL}, n AS (SELECT entry_id, count(*) AS n, count(*) FILTER (WHERE value LIKE '4471%') AS repaired FROM i GROUP BY 1),
 t AS (SELECT count(*) AS entries, count(*) FILTER (WHERE is_cancelled) AS cancelled, count(*) FILTER (WHERE is_offline) AS offline, count(*) FILTER (WHERE NOT is_cancelled AND NOT is_offline AND n IS NULL) AS without_identifiers,
              coalesce(sum(n), 0)::BIGINT AS identifiers, coalesce(sum(repaired), 0)::BIGINT AS repaired FROM e LEFT JOIN n ON e.id = n.entry_id)
 SELECT 'list' AS section, place::INTEGER AS place, label, n FROM t, LATERAL (VALUES (0, 'entries', entries), (1, 'cancelled', cancelled), (2, 'offline', offline), (3, 'without_identifiers', without_identifiers), (4, 'identifiers', identifiers), (5, 'repaired', repaired)) v(place, label, n)
