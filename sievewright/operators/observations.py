@@ -5,6 +5,8 @@ No observation names a person. ``obs_seq`` carries the order of arrival, on whic
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +32,17 @@ def of_addresses(df: DataFrame, address: str) -> DataFrame:
     return unrolled(parsed, df.columns).select(*df.columns, "ident_pos", "_i.platform", "_i.kind", "_i.value", F.coalesce(F.nullif(F.col("_i.raw"), F.lit("")), "_i.value").alias("raw"))
 
 
+@lru_cache(maxsize=16)
+def _bare_host(gateway: int, address: str) -> Column:
+    """The first bare host in a text as an array of one identifier, or NULL; built once for a JVM."""
+    host = x.normalize_host(F.get(x.find_bare_domains(F.col(address)), F.lit(0)))
+    return F.when(host.isNotNull(), F.array(F.struct(F.lit("web").alias("platform"), F.lit("domain").alias("kind"), host.alias("value"))))
+
+
 def of_visits(df: DataFrame, address: str) -> DataFrame:
     """As ``of_addresses``; an address without identifiers gives the first bare host in it, whatever it is."""
     parsed = with_identifiers(df, address, "_ids")
-    host = x.normalize_host(F.get(x.find_bare_domains(F.col(address)), F.lit(0)))
-    bare = F.when(host.isNotNull(), F.array(F.struct(F.lit("web").alias("platform"), F.lit("domain").alias("kind"), host.alias("value"))))
+    bare = _bare_host(id(df.sparkSession.sparkContext._gateway), address)
     parsed = parsed.withColumn("_ids", F.transform("_ids", lambda i: F.struct(i["platform"].alias("platform"), i["kind"].alias("kind"), i["value"].alias("value"))))
     parsed = parsed.withColumn("_ids", F.when(F.size("_ids") > 0, F.col("_ids")).otherwise(bare))
     return unrolled(parsed, df.columns).select(*df.columns, "ident_pos", "_i.*", F.col(address).alias("raw"))

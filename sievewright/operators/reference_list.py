@@ -6,12 +6,15 @@ one names the columns that order it.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import tables as t
 from ..functions import text as x
 from ..functions.addresses import IDENTIFIER, with_identifiers
+from ..session import cut_lineage
 
 
 #: Numbers of rows that one window counts.
@@ -50,9 +53,9 @@ def numbered(rows: DataFrame, name: str, by: str, *then: str) -> DataFrame:
     """``rows`` numbered from 1 as ``name`` in the order of the whole number ``by``, then of ``then``.
 
     Blocks of ``by`` are numbered each for itself, and start where the counts of the blocks before them end: no
-    window holds more than one block's rows, or a row for each block.
+    window holds more than one block's rows, or a row for each block. The rows are read twice and so written first.
     """
-    blocked = rows.withColumn("_block", F.floor(F.col(by) / BLOCK))
+    blocked = cut_lineage(rows.withColumn("_block", F.floor(F.col(by) / BLOCK)))
     counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_block", before.alias("_before"))
@@ -67,6 +70,21 @@ def entries_of(cells: DataFrame) -> DataFrame:
     return numbered(rows.withColumns({"is_cancelled": is_cancelled(), "is_offline": is_offline()}), "id", "row_index")
 
 
+@lru_cache(maxsize=4)
+def _named(gateway: int) -> Column:
+    """The identifiers of a find, by its scanner; built once for a JVM, as it names working columns only."""
+    host = x.normalize_host(F.when(F.col("_scan") == 1, F.col("_find")))
+    usable = ~host.isin(*t.PLATFORM_OF_HOST) & x.is_checkable_host(host)
+
+    def single(platform: str, kind: str, value: Column, raw: Column, notes: Column | None = None) -> Column:
+        one = F.struct(F.lit(platform).alias("platform"), F.lit(kind).alias("kind"), value.alias("value"), raw.alias("raw"), (F.array().cast("array<string>") if notes is None else notes).alias("notes"))
+        return F.array(one).cast(IDENTIFIER)
+
+    f, scan = F.col("_find"), F.col("_scan")
+    bare = F.when(usable, single("web", "domain", host, f, x.host_notes(f))).otherwise(F.array().cast(IDENTIFIER))
+    return F.when(scan == 0, F.col("identifiers").cast(IDENTIFIER)).when(scan == 1, bare).when(scan == 2, single("telegram", "numeric_id", f, f)).otherwise(single("telegram", "handle", F.lower(f), F.concat(F.lit("@"), f)))
+
+
 def extract_identifiers(rows: DataFrame, text: str, row: str) -> DataFrame:
     """One row for each identifier in ``text``, first of its key: row, ident_pos, platform, kind, value, raw, notes.
 
@@ -77,16 +95,7 @@ def extract_identifiers(rows: DataFrame, text: str, row: str) -> DataFrame:
     every = F.concat(finds(0, x.find_urls), finds(1, x.find_bare_domains), finds(2, x.find_spelled_ids), finds(3, x.find_bare_handles))
     found = rows.select(F.col(row).alias("_row"), F.explode_outer(every).alias("_f")).where("_f is not null").select("_row", F.col("_f.scan").alias("_scan"), F.col("_f.pos").alias("_pos"), F.col("_f.found").alias("_find"))
     parsed = with_identifiers(found.withColumn("_url", F.when(F.col("_scan") == 0, F.col("_find"))), "_url")
-    host = x.normalize_host(F.when(F.col("_scan") == 1, F.col("_find")))
-    usable = ~host.isin(*t.PLATFORM_OF_HOST) & x.is_checkable_host(host)
-
-    def single(platform: str, kind: str, value: Column, raw: Column, notes: Column | None = None) -> Column:
-        one = F.struct(F.lit(platform).alias("platform"), F.lit(kind).alias("kind"), value.alias("value"), raw.alias("raw"), (F.array().cast("array<string>") if notes is None else notes).alias("notes"))
-        return F.array(one).cast(IDENTIFIER)
-
-    f, scan = F.col("_find"), F.col("_scan")
-    bare = F.when(usable, single("web", "domain", host, f, x.host_notes(f))).otherwise(F.array().cast(IDENTIFIER))
-    named = F.when(scan == 0, F.col("identifiers").cast(IDENTIFIER)).when(scan == 1, bare).when(scan == 2, single("telegram", "numeric_id", f, f)).otherwise(single("telegram", "handle", F.lower(f), F.concat(F.lit("@"), f)))
+    named = _named(id(rows.sparkSession.sparkContext._gateway))
     flat = parsed.select("_row", "_scan", "_pos", F.posexplode_outer(named).alias("_sub", "i")).where("_sub is not null").select("_row", "_scan", "_pos", "_sub", "i.*")
     order = [F.col(k) for k in ("_scan", "_pos", "_sub")]
     first = F.row_number().over(Window.partitionBy("_row", "platform", "kind", "value").orderBy(*order))
