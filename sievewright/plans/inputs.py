@@ -110,7 +110,9 @@ SHARE = 1000
 def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of pages, and addresses composed from parts, both visited and saved, that partly meet the list."""
     pages = table(spark, sf_dir, "pages").select(F.lit(0).alias("phase"), F.col("page_id").cast("long").alias("obs_seq"), "url")
-    return _seen(pages).unionByName(trace_parts(table(spark, sf_dir, "part")))
+    both = _seen(pages).unionByName(trace_parts(table(spark, sf_dir, "part")))
+    # dealt out anew: the small files come as a task each, and the parse would be planned for either side of the union
+    return both.repartition(spark.sparkContext.defaultParallelism)
 
 
 def trace_parts(part: DataFrame) -> DataFrame:
