@@ -1,23 +1,23 @@
 """A quality classifier by Bradley-Terry pairwise ranking.
 
 A document's score is a weighted sum of statistics of its whole text. The weights maximise the probability
-that, of a good and a bad document, the good one scores higher: logistic loss on feature differences over
-PAIRS seeded pairs, solved by Newton steps. The threshold is the quantile of the training scores at the share of
-bad documents among all labels (classes of the sample count as often as there), and scores are mapped to 0 to 1 so
-that the threshold falls on 0.3.
+that, of a good and a bad document, the good one scores higher: logistic loss on the feature differences of all
+pairs of a good and a bad document, solved by Newton steps. The threshold is the quantile of the training scores at
+the share of bad documents, and scores are mapped to 0 to 1 so that the threshold falls on 0.3.
 
-Fitting takes up to PER_CLASS labelled documents of each class outside the held-out fold, chosen by hash
-(documented bound); every document is scored. Labels, language, source and id are no features.
+Fitting takes every labelled document outside the held-out fold. A pair's loss depends on its two scores only, so
+that a step is one aggregation over (class, range of scores): counts and moments of the ranges give the sums over all
+pairs, to the second order of a range's width of 1 / BINS_PER_UNIT. The quantile is exact. Every document is scored. Labels, language, source and id are no features.
 
 Defined cases: NULL texts score as empty ones; without pairs of both classes every score is 0.5; repeated
-rows each get a row; an empty table stays empty; further columns are ignored by the query and kept by the filter,
-whatever their names; of a labelled id that many rows bear, at most 4 * PER_CLASS rows take part in fitting.
+rows each get a row, and each takes part in fitting if its id is labelled; an empty table stays empty; further columns
+are ignored by the query and kept by the filter, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, label_counts, labelled_sample, set_aside
+from .common import FIT_ROWS, cut_lineage, fold_of, held_out, running, set_aside, summed, training_labels
 from .quality_rules import base_counts
 
-PER_CLASS = 6000
-PAIRS = 120_000
+#: Ranges of scores: up to BINS / 2 / BINS_PER_UNIT on either side of zero; what lies beyond is in the outermost.
+BINS, BINS_PER_UNIT = 1024, 16
 RIDGE = 1e-3
-SEED = 7
 THRESHOLD = 0.3
 
 _UPPER = bytes(range(65, 91))
@@ -79,53 +78,96 @@ class Ranking:
     weights: np.ndarray
     threshold: float
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale * self.weights).sum(1)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        s = ((x - self.mean) / self.scale) @ self.weights - self.threshold
+        s = self.raw(x) - self.threshold
         return 1 / (1 + np.exp(-np.clip(s + np.log(THRESHOLD / (1 - THRESHOLD)), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, odds: float | None = None) -> Ranking:
-    """Feature rows and labels 0 or 1 to a ranking. ``odds``: bad to good documents among all labels, if the rows
-    hold them at other rates."""
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    width = x.shape[1] if x.size else FEATURES
-    if not len(good) or not len(bad):
-        return Ranking(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(THRESHOLD / (1 - THRESHOLD))))
-    mean, scale = x.mean(0), x.std(0)
+def _features_of(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("x").flatten().to_numpy().reshape(-1, FEATURES)
+
+
+def _digits(values: np.ndarray) -> np.ndarray:
+    """Nine digits of each value, so that the order of sums does not show."""
+    return np.array([float(f"{v:.9g}") for v in values])
+
+
+def binned(x: np.ndarray, y: np.ndarray, model: Ranking) -> np.ndarray:
+    """For each class and range of scores: rows, sum of scores, and first and second moments of the scaled features."""
+    z, s = (x - model.mean) / model.scale, model.raw(x)
+    at = np.clip(np.floor(s * BINS_PER_UNIT) + BINS // 2, 0, BINS - 1).astype(np.int64) + BINS * y.astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+    values = np.column_stack([np.ones(len(s)), s, z, (z[:, :, None] * z[:, None, :]).reshape(len(s), -1)])[order]
+    out = np.zeros((2 * BINS, values.shape[1]))
+    out[at[order][starts]] = np.add.reduceat(values, starts)
+    return out
+
+
+def newton_step(table: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The step from ``w``, by the sums of ``binned``: gradient and curvature of the mean loss over all pairs."""
+    n, m = (part[part[:, 0] > 0] for part in table.reshape(2, BINS, -1)[::-1])  # good, bad
+    size, mean, first, second = zip(*[(c[:, 0], c[:, 1] / c[:, 0], c[:, 2 : 2 + len(w)], c[:, 2 + len(w) :].reshape(-1, len(w), len(w))) for c in (n, m)], strict=True)
+    # within a range: variance of the scores, and what the scores around their mean add to the features
+    spread = [np.maximum(x @ w @ w / k - s * s, 0) for k, s, x in zip(size, mean, second, strict=True)]
+    lean = [x @ w - s[:, None] * f for s, f, x in zip(mean, first, second, strict=True)]
+    p = 1 / (1 + np.exp(np.clip(mean[0][:, None] - mean[1][None, :], -30, 30)))  # probability of the wrong order
+    h = p * (1 - p)
+    p = p + h * (1 - 2 * p) * (spread[0][:, None] + spread[1][None, :]) / 2
+    slope = (p @ size[1]) @ first[0] - (h @ size[1]) @ lean[0] - (size[0] @ p) @ first[1] - (size[0] @ h) @ lean[1]
+    cross = first[0].T @ h @ first[1]
+    own = np.tensordot(h @ size[1], second[0], 1) + np.tensordot(size[0] @ h, second[1], 1)
+    pairs = size[0].sum() * size[1].sum()
+    return np.linalg.solve((own - cross - cross.T) / pairs + RIDGE * np.eye(len(w)), slope / pairs - RIDGE * w)
+
+
+def fit(rows: DataFrame) -> Ranking:
+    """Rows (label, x), labels 0 or 1, to a ranking."""
+    rows = cut_lineage(rows.select("label", "x"))
+    bad, good = rows.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    if not good or not bad:
+        return Ranking(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(THRESHOLD / (1 - THRESHOLD))))
+    rows = rows.coalesce((good + bad) // FIT_ROWS + 1)
+    mean = _digits(summed(rows, lambda b: _features_of(b).sum(0)) / (good + bad))
+    scale = _digits(np.sqrt(summed(rows, lambda b: ((_features_of(b) - mean) ** 2).sum(0)) / (good + bad)))
     scale[scale < 1e-9] = 1
-    z = (x - mean) / scale
-    rng = np.random.default_rng(SEED)
-    d = z[good[rng.integers(0, len(good), PAIRS)]] - z[bad[rng.integers(0, len(bad), PAIRS)]]
-    w = np.zeros(width)
+    model = Ranking(mean, scale, np.zeros(FEATURES), 0.0)
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # probability of the wrong order
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / PAIRS + RIDGE * np.eye(width), d.T @ p / PAIRS - RIDGE * w)
-        w = w + step
+        table = summed(rows, lambda b, now=model: binned(_features_of(b), b.column("label").to_numpy(), now))
+        step = newton_step(table.reshape(2 * BINS, -1), model.weights)
+        model = replace(model, weights=_digits(model.weights + step))
         if np.abs(step).max() < 1e-6:
             break
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(_features_of(b))), b.column("label")], names=["s", "y"])
+
     # the quantile at the share of bad documents, between two scores
-    s = z @ w
-    order = np.argsort(s, kind="stable")
-    each = (len(bad) / len(good) if odds is None else odds) * len(good) / len(bad)  # a bad document's weight
-    below = np.cumsum(np.where(y[order] == 0, each, 1.0))
-    k = min(max(int(np.searchsorted(below, each * len(bad) + 1e-9, side="right")), 1), len(s) - 1)
-    return Ranking(mean, scale, w, float((s[order][k - 1] + s[order][k]) / 2))
+    k = min(max(bad, 1), good + bad - 1)
+    below = F.col("n_to") - F.col("n")
+    sides = running(rows.mapInArrow(run, "s double, y int"), good + bad).agg(*[F.max(F.when(below <= i, F.col("s"))) for i in (k - 1, k)]).first()
+    return replace(model, threshold=float(sum(sides) / 2))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Ranking:
-    sample = F.broadcast(labelled_sample(labels, "quality", per_class))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("label", "text")
+def with_features(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) to (doc_id, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(texts[i].as_py()) for i in range(b.num_rows)], pa.list_(pa.float64()))], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(texts[i].as_py()) for i in range(b.num_rows)], pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, x array<double>")
 
-    # 2 * per_class rows of FEATURES numbers; rows of repeated ids stay within the limit
-    found = rows.mapInArrow(run, "label int, x array<double>").limit(4 * per_class).toPandas()
-    x = np.array(sorted((y, *x) for y, x in zip(found["label"], found["x"], strict=True)), float).reshape(-1, FEATURES + 1)
-    zero, one = label_counts(labels, "quality")
-    return fit(x[:, 1:], x[:, 0], zero / one if zero and one else None)
+
+def train(docs: DataFrame, labels: DataFrame) -> Ranking:
+    """Texts are measured before they meet their labels, so that they never move."""
+    return fit(with_features(docs.where(fold_of(F.col("doc_id")) != 0)).join(training_labels(labels, "quality"), "doc_id"))
 
 
 def with_scores(docs: DataFrame, model: Ranking, text: str = "text") -> DataFrame:
@@ -149,5 +191,12 @@ def filter_documents(docs: DataFrame, model: Ranking) -> DataFrame:
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = with_scores(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    measured = cut_lineage(with_features(docs))
+    model = fit(measured.join(training_labels(labels, "quality"), "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(_features_of(b)))], names=["doc_id", "score"])
+
+    scored = measured.mapInArrow(run, f"doc_id {dict(measured.dtypes)['doc_id']}, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -334,6 +334,43 @@ def test_ranking(spark, docs, empty):
     assert ranking.op4(empty, labels).count() == 0
 
 
+def test_ranking_is_fitted_on_every_labelled_row(spark, monkeypatch):
+    """Weights and threshold against Newton steps in numpy over all pairs and all rows; repeated rows count each."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(900) < 0.7).astype(int)
+    x = rng.normal(size=(900, ranking.FEATURES)) + 0.4 * y[:, None] * rng.random(ranking.FEATURES)
+    x[:, 0] = 1.0
+    monkeypatch.setattr("sievewright.llm.ranking.FIT_ROWS", 100)
+    model = ranking.fit(spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(y, x, strict=True)], "label int, x array<double>").repartition(7))
+    scale = np.where(x.std(0) < 1e-9, 1, x.std(0))
+    z = (x - x.mean(0)) / scale
+    d = (z[y == 1][:, None, :] - z[y == 0][None, :, :]).reshape(-1, ranking.FEATURES)
+    w = np.zeros(ranking.FEATURES)
+    for _ in range(15):
+        p = 1 / (1 + np.exp(d @ w))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + ranking.RIDGE * np.eye(len(w)), d.T @ p / len(d) - ranking.RIDGE * w)
+    assert np.abs(model.weights - w).max() < 1e-3
+    s = np.sort(model.raw(x))
+    k = int((y == 0).sum())
+    assert model.threshold == pytest.approx((s[k - 1] + s[k]) / 2)
+
+
+def test_ranking_has_no_bound_on_labelled_documents(spark):
+    """More labelled documents of a class than a sample of 6,000 would hold, and as many rows of one id: all take part."""
+    docs = spark.range(40_000).selectExpr("if(id < 20000, id, 7) doc_id", "if(id < 20000, 'plain words', 'more words here') text", "'en' lang", "'s' source", "1L n_chars")
+    labels = spark.range(20_000).selectExpr("id doc_id", "cast(id % 10 > 0 as int) quality")
+    seen = []
+    keep = ranking.fit
+    ranking.fit = lambda rows: seen.append(rows.groupBy("label").count().collect()) or keep(rows)
+    try:
+        ranking.train(docs, labels)
+    finally:
+        ranking.fit = keep
+    fold = labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0")
+    whole = Counter({r.quality: r["count"] for r in fold.groupBy("quality").count().collect()}) + Counter({1: 20_000})
+    assert {r.label: r["count"] for r in seen[0]} == whole
+
+
 def test_toxicity(spark, docs, empty):
     def spoil(t, rng):
         w = t.split()
