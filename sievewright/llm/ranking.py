@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import FIT_ROWS, cut_lineage, fold_of, held_out, running, set_aside, summed, training_labels
+from .common import FIT_ROWS, cut_lineage, digits, fold_of, held_out, running, set_aside, summed, training_labels
 from .quality_rules import base_counts
 
 #: Ranges of scores: up to BINS / 2 / BINS_PER_UNIT on either side of zero; what lies beyond is in the outermost.
@@ -90,11 +90,6 @@ def _features_of(b: pa.RecordBatch) -> np.ndarray:
     return b.column("x").flatten().to_numpy().reshape(-1, FEATURES)
 
 
-def _digits(values: np.ndarray) -> np.ndarray:
-    """Nine digits of each value, so that the order of sums does not show."""
-    return np.array([float(f"{v:.9g}") for v in values])
-
-
 def binned(x: np.ndarray, y: np.ndarray, model: Ranking) -> np.ndarray:
     """For each class and range of scores: rows, sum of scores, and first and second moments of the scaled features."""
     z, s = (x - model.mean) / model.scale, model.raw(x)
@@ -131,14 +126,14 @@ def fit(rows: DataFrame) -> Ranking:
     if not good or not bad:
         return Ranking(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES), float(np.log(THRESHOLD / (1 - THRESHOLD))))
     rows = rows.coalesce((good + bad) // FIT_ROWS + 1)
-    mean = _digits(summed(rows, lambda b: _features_of(b).sum(0)) / (good + bad))
-    scale = _digits(np.sqrt(summed(rows, lambda b: ((_features_of(b) - mean) ** 2).sum(0)) / (good + bad)))
+    mean = digits(summed(rows, lambda b: _features_of(b).sum(0)) / (good + bad))
+    scale = digits(np.sqrt(summed(rows, lambda b: ((_features_of(b) - mean) ** 2).sum(0)) / (good + bad)))
     scale[scale < 1e-9] = 1
     model = Ranking(mean, scale, np.zeros(FEATURES), 0.0)
     for _ in range(25):
         table = summed(rows, lambda b, now=model: binned(_features_of(b), b.column("label").to_numpy(), now))
         step = newton_step(table.reshape(2 * BINS, -1), model.weights)
-        model = replace(model, weights=_digits(model.weights + step))
+        model = replace(model, weights=digits(model.weights + step))
         if np.abs(step).max() < 1e-6:
             break
 

@@ -387,6 +387,43 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.op6(empty, labels).count() == 0
 
 
+def test_toxicity_curve_and_cut_are_fitted_on_every_row(spark, monkeypatch):
+    """Against Newton steps and a search of all cuts in numpy."""
+    rng = np.random.default_rng(8)
+    y = (rng.random(1500) < 0.2).astype(int)
+    x = rng.normal(size=(1500, toxicity.FEATURES)) + 0.8 * y[:, None]
+    x[700:] = np.round(x[700:])  # ties
+    for name in ("common", "toxicity"):
+        monkeypatch.setattr(f"sievewright.llm.{name}.FIT_ROWS", 200)
+    found = toxicity.fit_curve(spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(y, x, strict=True)], "label int, x array<double>").repartition(5))
+    z, w = np.column_stack([x, np.ones(len(x))]), np.zeros(toxicity.FEATURES + 1)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ (y - p) - 1e-2 * w)
+    assert np.abs(found[:-1] - w[:-1]).max() < 1e-6
+    s = toxicity._raw(x, w)
+    f1 = lambda marked: 2 * (marked & (y == 1)).sum() / (marked.sum() + y.sum())
+    assert f1(toxicity.apply_curve(x, found) >= 0.5) == pytest.approx(max(f1(s >= c) for c in s))
+
+
+def test_toxicity_has_no_bound_on_labelled_documents(spark, monkeypatch):
+    """More labelled documents of a class than a sample of 3,000 would hold, and many rows of one id: all take part,
+    whether the labels are broadcast or not."""
+    docs = spark.range(20_000).selectExpr("if(id < 10000, id, 7) doc_id", "if(id % 2 = 0, 'plain words', 'zorgish words here') text")
+    labels = spark.range(10_000).selectExpr("id doc_id", "cast(id % 2 as int) toxic")
+    whole = Counter({r.toxic: r["count"] for r in labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 != 0").groupBy("toxic").count().collect()}) + Counter({1: 10_000})
+    keep = toxicity.train_models, toxicity.fit_curve
+    for most in (toxicity.BROADCAST_LABELS, 0):
+        seen = []
+        note = lambda rows: seen.append({r.label: r["count"] for r in rows.groupBy("label").count().collect()})  # noqa: B023, E731
+        monkeypatch.setattr(toxicity, "BROADCAST_LABELS", most)
+        monkeypatch.setattr(toxicity, "train_models", lambda rows: note(rows) or keep[0](rows))
+        monkeypatch.setattr(toxicity, "fit_curve", lambda rows: note(rows) or keep[1](rows))
+        model, _ = toxicity.train(docs, labels)
+        assert seen == [whole, whole]
+        assert model.words.to_pylist()
+
+
 def test_shared_backoff_is_a_distribution():
     model_words = ["ab", "abc", "abd", "xab", "b"]
     cp, ends = toxicity._code_points(model_words), toxicity._ends(model_words)
