@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, set_aside
+from .common import cut_lineage, pieces, set_aside
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -59,15 +59,23 @@ BROADCAST_GROUPS = 20_000
 #: Files that the estimates, a row a group, are written to at each step.
 ESTIMATE_PARTITIONS = 8
 BINS_PER_OCTAVE = 8
+#: Windows that are looked up at once.
+BLOCK = 1 << 17
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text."""
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of a text, 8 bytes each in place of an object."""
+    found = [np.fromiter(map(hash, words := piece.split()), np.int64, len(words)) for piece in pieces(raw)]
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
+def base_counts(text: str | None, hashes: np.ndarray | None = None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a whole text; ``hashes`` are its ``word_hashes``."""
     if not text:
         return 0, 0, 0, 0, 0
-    words = text.encode().split()
-    n = len(words)
+    if hashes is None:
+        hashes = word_hashes(text.encode())
     chars = len(text) - sum(map(text.count, BLANKS))
     symbols = sum(map(text.count, SYMBOLS))
     dup = 0
@@ -78,25 +86,31 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
                 dup += 1
             elif line.strip(BLANKS):
                 seen.add(line)
-    return n, chars, symbols, dup, repeat_words(words)
+    return len(hashes), chars, symbols, dup, repeat_words(hashes)
 
 
-def repeat_words(words: list[bytes]) -> int:
-    """Words in 8-word windows that occur at least twice in the text."""
-    n = len(words) - WINDOW + 1
+def repeat_words(hashes: np.ndarray) -> int:
+    """Words in 8-word windows that occur at least twice in the text, by the words' hashes."""
+    n = len(hashes) - WINDOW + 1
     if n < 2:
         return 0
-    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    rolled = sum((h[k : k + n] * _POWERS[k] for k in range(WINDOW)), np.zeros(n, np.uint64))
+    h = hashes.view(np.uint64)
+    rolled = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        rolled += h[k : k + n] * _POWERS[k]
     ranked = np.sort(rolled)
-    if not (ranked[1:] == ranked[:-1]).any():
+    again = ranked[1:][ranked[1:] == ranked[:-1]]
+    del ranked
+    if not len(again):
         return 0
-    _, back, count = np.unique(rolled, return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(count[back] > 1)
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + WINDOW, -1)
-    return int((np.cumsum(edge[:-1]) > 0).sum())
+    again = again[np.concatenate([[True], again[1:] != again[:-1]])]
+    inside = np.zeros(len(hashes), bool)
+    for i in range(0, n, BLOCK):
+        part = rolled[i : i + BLOCK]
+        twice = again[np.minimum(np.searchsorted(again, part), len(again) - 1)] == part
+        for k in range(WINDOW):
+            inside[i + k : i + k + len(part)] |= twice
+    return int(inside.sum())
 
 
 def with_counts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import FIT_ROWS, cut_lineage, digits, fold_of, held_out, running, set_aside, summed, training_labels
-from .quality_rules import base_counts
+from .quality_rules import base_counts, word_hashes
 
 #: Ranges of scores: up to BINS / 2 / BINS_PER_UNIT on either side of zero; what lies beyond is in the outermost.
 BINS, BINS_PER_UNIT = 1024, 16
@@ -41,15 +41,17 @@ FEATURES = 16
 
 def features(text: str | None) -> list[float]:
     """Statistics of a text, mostly roots of shares, so that differences are of like size."""
-    if not text or not (words := text.encode().split()):
+    raw = (text or "").encode()
+    hashes = word_hashes(raw)
+    if not len(hashes):
         return [0.0] * FEATURES
-    n, chars, symbols, dup, repeated = base_counts(text)
-    raw = text.encode()
+    n, chars, symbols, dup, repeated = base_counts(text, hashes)
     size = len(raw)
     amount = lambda chars: size - len(raw.translate(None, chars))
     lines = text.count("\n") + 1
     share = lambda x, y: (x / y) ** 0.5
-    distinct = len(set(words))
+    hashes.sort()
+    distinct = 1 + int(np.count_nonzero(hashes[1:] != hashes[:-1]))
     upper, lower = amount(_UPPER), amount(_LOWER)
     return [
         1.0,

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, set_aside
+from .common import cut_lineage, pieces, set_aside
 
 DISTANCE = 3
 SEGMENTS, BITS = 4, 16
@@ -47,14 +47,23 @@ def fingerprint(text: str | None) -> int:
     """Unsigned 64-bit SimHash of the 3-word shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
-    w = text.encode().lower().split() if text else []  # bytes.lower() changes A-Z only
-    if not w:
-        return 0
-    shingles = map(b" ".join, zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else [b" ".join(w)]
-    h = np.array([xxh64_intdigest(s, SEED) for s in shingles], dtype="<u8")
+    before: list[bytes] = []
+    counts, n = 0, 0
+    for piece in pieces(text.encode()) if text else ():
+        w = before + piece.lower().split()  # bytes.lower() changes A-Z only
+        before = w[-2:]
+        if len(w) > 2:
+            h = np.array([xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(w, w[1:], w[2:], strict=False))], dtype="<u8")
+            counts, n = counts + _set_bits(h), n + len(h)
+    if not n:
+        return xxh64_intdigest(b" ".join(before), SEED) if before else 0
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+
+
+def _set_bits(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each bit."""
     columns = h.view(np.uint8).reshape(-1, 8)
-    counts = np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BIT_OF for k in range(8)])
-    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+    return np.concatenate([np.bincount(columns[:, k], minlength=256) @ _BIT_OF for k in range(8)])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -328,7 +337,8 @@ def _with_fingerprint(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(x) for x in b.column("text").to_pylist()], np.uint64)
+            texts = b.column("text")
+            fp = np.fromiter((fingerprint(texts[i].as_py()) for i in range(b.num_rows)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], names=[*b.schema.names, "fp"])
 
     return rows.mapInArrow(run, schema)

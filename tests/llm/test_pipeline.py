@@ -1,12 +1,14 @@
 """The pipeline's stages on a small table: each one's decisions against its operator's own rows."""
 
+import tracemalloc
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sievewright.llm import quality_rules, ranking, simhash
+from sievewright.llm import common, quality_rules, ranking, simhash
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
@@ -62,3 +64,33 @@ def test_odd_rows_and_columns(spark):
         assert got.columns == df.columns or name == "tokenising"
         n = got.count()
         assert n == len(rows) if name == "tokenising" else n > 0, name
+
+
+MEASURES = [quality_rules.base_counts, ranking.features, simhash.fingerprint]
+
+
+@pytest.mark.parametrize("measure", MEASURES)
+def test_memory_of_a_long_text(measure):
+    """The words of a long text are never all objects at once: a worker takes less than six times the text."""
+    words = np.array([f"w{i:x}ord" for i in range(30_000)])
+    text = " ".join(words[np.random.default_rng(1).integers(0, len(words), 900_000)].tolist())
+    measure("a b c d")
+    tracemalloc.start()
+    try:
+        measure(text)
+        assert tracemalloc.get_traced_memory()[1] < 6 * len(text)
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("measure", MEASURES)
+def test_long_texts_by_pieces(measure, monkeypatch):
+    """A text counts the same whole and in pieces: any blanks, words longer than a piece, repeats over a piece's end."""
+    line = "Été one\x0btwo  three\tfour five six seven eight nine ten "
+    texts = [None, "", " \n\t ", "a", "a  B", "a b c", line * 9, "x" * 500 + " y z " + "é" * 300, (line + "\n") * 4 + "w " * 80, " " * 200 + "a b" + " " * 200]
+    texts += [" ".join(f"{k % 41}é{k % 7}" for k in range(n)) for n in range(1, 300, 13)]
+    whole = [measure(x) for x in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(common, "PIECE_BYTES", size)
+        assert [measure(x) for x in texts] == whole
+    assert all(b"".join(common.pieces(x.encode())) == x.encode() for x in texts if x)
